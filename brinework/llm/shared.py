@@ -111,6 +111,8 @@ _STEP = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 #: Space, tab, line feed, vertical tab, form feed and carriage return.
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: All ASCII but letters and digits, for words without punctuation.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
@@ -174,11 +176,11 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, space: np.ndarray) -> Iterator[
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a batch: byte spans, hashes, and each text's range of them."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, apart: np.ndarray | None = None):
         if lower:
             data = _LOWER[data]
         self.data, self.offsets = data, offsets
-        space = _SPACE[data]
+        space = (_SPACE if apart is None else apart)[data]
         starts, ends, hashes = [], [], []
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
