@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, packing, pii, quality, sharding
+from . import chat, decontamination, langid, near_dups, packing, pii, pseudo_likelihood, quality, sharding
 from .shared import read_table
 
 LANG_FOLD = 2
@@ -17,6 +17,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(read_table(spark, sf_dir, "documents")))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == LANG_FOLD
@@ -48,8 +52,20 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number", "position")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op4_language_id, op5_quality_rules, op6_best_fit_packing, op7_chat_formatting, op8_sharding)}
+    return {f.__name__: f for f in (
+        op1_pii, op2_near_duplicates, op4_language_id, op5_quality_rules, op6_best_fit_packing, op7_chat_formatting,
+        op8_sharding, op9_decontamination, op10_pseudo_likelihood,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
