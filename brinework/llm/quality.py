@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Kept, Words, map_batches, utf8, windows
+from .shared import Kept, Words, line_hashes, line_spans, map_batches, utf8, windows
 
 #: ratio: the least distance of a fence from the median.
 GAPS = {"symbol_ratio": 0.10, "dup_line_ratio": 0.50, "repeat_ratio": 0.40, "word_length": 3.0, "pipe_ratio": 0.15, "capital_ratio": 0.35}
@@ -38,25 +38,10 @@ _NAMES = [x.split()[0] for x in FEATURES.split(", ")]
 
 def _line_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each line that has a word, over its exact bytes, and where it starts."""
-    from .shared import prefix_sums, span_hash
-    data, offsets = words.data, words.offsets
-    feeds = np.flatnonzero(data == 10)
-    starts = np.union1d(feeds + 1, offsets[:-1])
-    starts = starts[starts < len(data)]
-    ends = np.minimum(feeds[np.minimum(np.searchsorted(feeds, starts), max(0, len(feeds) - 1))] if len(feeds) else np.full(len(starts), len(data)), len(data))
-    if len(feeds):
-        ends[np.searchsorted(feeds, starts) >= len(feeds)] = len(data)
-    ends = np.minimum(ends, offsets[np.searchsorted(offsets, starts, "right")])
+    starts, ends = line_spans(words.data, words.offsets)
     full = np.searchsorted(words.start, ends) > np.searchsorted(words.start, starts)
     starts, ends = starts[full], ends[full]
-    out = np.zeros(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):  # blocks of lines, so that the sums stay small
-        till = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 18))))
-        lo, hi = starts[at], ends[till - 1]
-        out[at:till] = span_hash(prefix_sums(data[lo:hi]), starts[at:till] - lo, ends[at:till] - lo)
-        at = till
-    return out, starts
+    return line_hashes(words.data, starts, ends), starts
 
 
 def _repeats(hashes: np.ndarray, size: int = 3) -> int:

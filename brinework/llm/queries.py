@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, langid, near_dups, packing, pii, pseudo_likelihood, quality, sharding
+from . import chat, decontamination, langid, line_dedup, near_dups, packing, pii, pseudo_likelihood, quality, sharding
 from .shared import read_table
 
 LANG_FOLD = 2
@@ -21,6 +21,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(read_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == LANG_FOLD
@@ -63,7 +67,7 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_pii, op2_near_duplicates, op4_language_id, op5_quality_rules, op6_best_fit_packing, op7_chat_formatting,
+        op1_pii, op2_near_duplicates, op3_line_dedup, op4_language_id, op5_quality_rules, op6_best_fit_packing, op7_chat_formatting,
         op8_sharding, op9_decontamination, op10_pseudo_likelihood,
     )}
 

@@ -202,6 +202,34 @@ class Words:
         self.first = np.searchsorted(self.start, offsets, "left")  # first[i]:first[i + 1] are text i's words
 
 
+def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans of the lines (split at line feeds) of all texts, in order; empty lines are left out."""
+    feeds = np.flatnonzero(data == 10)
+    starts = np.union1d(feeds + 1, offsets[:-1])
+    starts = starts[starts < len(data)]
+    ends = np.append(feeds, len(data))[np.searchsorted(feeds, starts)]
+    ends = np.minimum(ends, offsets[np.searchsorted(offsets, starts, "right")])
+    full = ends > starts
+    return starts[full], ends[full]
+
+
+def line_blocks(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of lines of about BLOCK_BYTES together, so that sums over them stay small."""
+    at = 0
+    while at < len(starts):
+        till = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK_BYTES)))
+        yield at, till
+        at = till
+
+
+def line_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(starts), np.uint64)
+    for a, b in line_blocks(starts, ends):
+        lo, hi = starts[a], ends[b - 1]
+        out[a:b] = span_hash(prefix_sums(data[lo:hi]), starts[a:b] - lo, ends[a:b] - lo)
+    return out
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` hashes; one fewer than size at the end."""
     n = max(0, len(hashes) - size + 1)
@@ -297,7 +325,8 @@ def components(kept: Kept, links: DataFrame) -> DataFrame:
         if now == was:
             break
         was = now
-    return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    own = F.col("b").alias("root")
+    return e.select(F.col("a").alias("id"), own).unionByName(e.select(F.col("b").alias("id"), own).distinct())
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
