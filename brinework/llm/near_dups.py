@@ -8,11 +8,12 @@ shingles agree in a token with that probability, so a pair's shared paths multip
 from level to level instead of dying out: a tree loses it with a probability of 1/9
 at any depth, and five trees with less than 2e-5.
 
-Nodes of LIMIT classes or fewer are compared exhaustively (signatures first, then the
-full sets). A larger node is first compared with its least class, which joins what is
-dense; then it branches further while it holds more than one component, since within
-one there is nothing left to find. Nodes that still don't split after DEPTH levels are
-compared in blocks of pairs. Every link is confirmed on full shingle sets.
+Within one component there is nothing left to find, so dense nodes are joined first:
+each by its least class, and what that leaves apart by the heaviest forest of its
+signatures' agreements. In a node that still holds more than one component, each class
+outside its largest one is compared with all others (signatures first, then the full
+sets) where there are LIMIT of them or fewer; other nodes branch on. Nodes that don't split within DEPTH levels are compared
+in blocks of pairs. Every link is confirmed on full shingle sets.
 
 Null and empty texts have an empty set and no links. A text of fewer than five words
 is one shingle. Rows with equal ids are one document. Rows with a null id are linked
@@ -31,12 +32,16 @@ from pyspark.sql import functions as F
 
 from .shared import Kept, Words, components, map_batches, seeds, shingle_sets, signed, utf8
 
-WORDS, SIZE, TREES, LIMIT, DEPTH, CHUNK = 5, 64, 5, 96, 8, 256
+WORDS, SIZE, TREES, LIMIT, DEPTH, CHUNK = 5, 128, 5, 2048, 8, 256
 #: Agreeing tokens, of SIZE, from which a pair is confirmed: four deviations under three quarters.
-LIKELY = 33
+LIKELY = 76
+#: The same for the longer signatures of classes that are still apart after the forests.
+LONG, LIKELY_LONG = 512, 345
+#: Classes that one forest spans; a larger node is dealt by hash to parts of this size.
+FOREST = 4096
 #: Ids that go to the tasks whole (4 MB); more are met by shuffle.
 SENT_IDS = 500_000
-_A, _B = seeds(SIZE, 101), seeds(SIZE, 102)
+_A, _B = seeds(LONG, 101), seeds(LONG, 102)
 
 
 def linked(common: int, union: int) -> bool:
@@ -48,7 +53,7 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, hi, lo, sig): two hashes of the whole set and its minwise tokens."""
+    """(doc_id, n_shingles, hi, lo, root, sig): hashes of the whole set, 32 bits of the trees' first tokens, 16 of all."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = _sets(b.column("text"))
@@ -63,11 +68,24 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     sig[full, k] = np.minimum.reduceat(((flat ^ _B[k]) * _A[k]) >> np.uint64(32), at)
                 hi[full] = np.add.reduceat((flat ^ _A[0]) * _B[1] ^ (flat >> np.uint64(29)), at)
                 lo[full] = np.add.reduceat((flat ^ _A[1]) * (flat | np.uint64(1)), at)
-            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SIZE)
-            yield pa.record_batch([b.column("doc_id"), pa.array(n), pa.array(signed(hi)), pa.array(signed(lo)), pa.ListArray.from_arrays(offsets, pa.array(sig.ravel().view(np.int32)))],
-                                  ["doc_id", "n_shingles", "hi", "lo", "sig"])
+            offsets = np.arange(len(sets) + 1, dtype=np.int32)
+            root = pa.ListArray.from_arrays(pa.array(offsets * (2 * TREES)), pa.array(sig[:, :2 * TREES].ravel().view(np.int32)))
+            every = pa.ListArray.from_arrays(pa.array(offsets * SIZE), pa.array(sig.astype(np.uint16).ravel().view(np.int16)))
+            yield pa.record_batch([b.column("doc_id"), pa.array(n), pa.array(signed(hi)), pa.array(signed(lo)), root, every], ["doc_id", "n_shingles", "hi", "lo", "root", "sig"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, "doc_id long, n_shingles long, hi long, lo long, sig array<int>")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, "doc_id long, n_shingles long, hi long, lo long, root array<int>, sig array<smallint>")
+
+
+def long_signatures(docs: DataFrame) -> DataFrame:
+    """(id, sig): LONG minwise tokens of each text, 16 bits of each."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = _sets(b.column("text"))
+            sig = np.stack([[np.min(((s ^ _B[k]) * _A[k]) >> np.uint64(32)) if len(s) else 0 for k in range(LONG)] for s in sets]) if len(sets) else np.zeros((0, LONG))
+            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * LONG)
+            yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(sig.astype(np.uint16).ravel().view(np.int16)))], ["id", "sig"])
+
+    return map_batches(docs.select("doc_id", "text"), work, "id long, sig array<smallint>")
 
 
 def only(df: DataFrame, column: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -116,26 +134,54 @@ def confirm(kept: Kept, docs: DataFrame, pairs: DataFrame, accept: Callable[[int
     return kept.put(map_batches(met, work, "a long, b long"))
 
 
-def _pairs_of(node_rows: DataFrame, keys: list[str], sides: bool) -> DataFrame:
+def _forest(ids: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> tuple[list, list]:
+    """Edges between components of the heaviest forest over likely pairs (Prim's way)."""
+    m = len(ids)
+    best, via, free = np.full(m, -1), np.zeros(m, np.int64), np.ones(m, bool)
+    a, b, v = [], [], 0
+    for _ in range(m - 1):
+        free[v] = False
+        near = np.count_nonzero(sig == sig[v], axis=1)
+        near[comp == comp[v]] = SIZE + 1
+        better = free & (near > best)
+        best[better], via[better] = near[better], v
+        v = int(np.argmax(np.where(free, best, -2)))
+        if best[v] >= LIKELY and comp[v] != comp[via[v]]:
+            x, y = ids[v], ids[via[v]]
+            a.append(min(x, y))
+            b.append(max(x, y))
+    return a, b
+
+
+def _pairs_of(node_rows: DataFrame, keys: list[str], sides: bool = False, forest: bool = False, first: bool = False) -> DataFrame:
     """Likely pairs of different components within each node, from the signatures.
 
-    ``sides``: rows have a column side, and only pairs across sides 0 and 1 count.
+    Rows with side 1 are compared to all others of another component, or with
+    ``sides`` only to those with side 0. ``forest``: only the edges of a heaviest
+    forest. ``first``: a pair counts only in the first of the root's nodes that both
+    lie in, leaving out those in the bits ``skip``.
     """
+    size, likely = (SIZE, LIKELY) if forest else (LONG, LIKELY_LONG)
     met = node_rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
-        def node(ids, comp, side, sig):
+        def node(ids, comp, side, sig, *where):
+            if forest:
+                return _forest(ids, comp, sig)
             a, b = [], []
-            for i in range(len(ids) - 1):
-                near = np.count_nonzero(sig[i + 1:] == sig[i], axis=1) >= LIKELY
-                near &= comp[i + 1:] != comp[i]
+            for i in np.flatnonzero(side == 1).tolist():
+                near = (np.count_nonzero(sig == sig[i], axis=1) >= likely) & (comp != comp[i])
                 if sides:
-                    near &= side[i + 1:] != side[i]
-                got = ids[i + 1:][near]
-                a += np.minimum(got, ids[i]).tolist()
-                b += np.maximum(got, ids[i]).tolist()
+                    near &= side == 0
+                if first:
+                    k, skip, root = where
+                    at = np.flatnonzero(near)
+                    both = (root[at] == root[i]) & ((skip[i] >> np.arange(2 * TREES)) & 1 == 0)
+                    near[at[np.argmax(both, axis=1) != k[i]]] = False
+                a += np.minimum(ids[near], ids[i]).tolist()
+                b += np.maximum(ids[near], ids[i]).tolist()
             return a, b
 
         def work_on(k, cols, last):
@@ -155,7 +201,9 @@ def _pairs_of(node_rows: DataFrame, keys: list[str], sides: bool) -> DataFrame:
             if not rb.num_rows:
                 continue
             k = np.stack([rb.column(c).to_numpy(zero_copy_only=False) for c in keys], axis=1)
-            cols = [rb.column("id").to_numpy(), rb.column("comp").to_numpy(), rb.column("side").to_numpy(), rb.column("sig").flatten().to_numpy().reshape(-1, SIZE)]
+            cols = [rb.column("id").to_numpy(), rb.column("comp").to_numpy(), rb.column("side").to_numpy(), rb.column("sig").flatten().to_numpy().reshape(-1, size)]
+            if first:
+                cols += [rb.column("k").to_numpy(), rb.column("skip").to_numpy(), rb.column("root").flatten().to_numpy().reshape(-1, 2 * TREES)]
             if held:
                 k, cols = np.concatenate([held[0], k]), [np.concatenate(x) for x in zip(held[1], cols)]
             out, held = work_on(k, cols, False)
@@ -174,42 +222,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = every.filter("n_shingles > 0")
     classes = kept.put(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("id")))
     alone = classes.select("id").filter("id is not null")
-    sigs = kept.put(full.join(alone, full.doc_id == alone.id, "left_semi").select(F.col("doc_id").alias("id"), "sig"))
+    sigs = kept.put(full.join(alone, full.doc_id == alone.id, "left_semi").select(F.col("doc_id").alias("id"), "root", "sig"))
 
     # first level: two tokens of each tree's root
-    root = F.explode(F.array(*[F.xxhash64(F.lit(k // 2), F.lit(k), F.col("sig")[k]) for k in range(2 * TREES)]))
-    rows = kept.put(sigs.select(root.alias("node"), "id"))
+    child = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(k), F.col("root")[k]).alias("node"), F.lit(k).alias("k")) for k in range(2 * TREES)]))
+    rows = kept.put(sigs.select(child.alias("c"), "id").select("c.node", "c.k", "id"))
     sizes = kept.put(rows.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    live = kept.put(rows.join(sizes, "node").select("node", "id", "least", "n"))
+    live = kept.put(rows.join(sizes, "node").select("node", "k", "id", "least", "n"))
     kept.drop(rows, sizes)
     dense = confirm(kept, docs, live.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")))
 
-    comp = components(kept, dense)
-    told = live.filter("n > 2").select("node", "id").join(comp.select("id", F.col("root")), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+    def labelled(r: DataFrame, links: DataFrame) -> DataFrame:
+        """``r`` with comp, from the components of the links so far."""
+        comp = components(kept, links)
+        return r.join(comp.select("id", "root"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
 
     def mixed(r: DataFrame) -> DataFrame:
         """Rows of nodes with more than one component, with the node's size."""
         r = kept.put(r)
-        n = r.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("node", "n")
-        return kept.put(r.join(n, "node"))
-
-    at, found = mixed(told), []
-    at = kept.put(at.join(sigs, "id"))
+        n = r.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("comp", "c").alias("major"), F.count(F.lit(1)).alias("comps"))
+        n = n.filter("comps > 1").drop("comps")
+        out = kept.put(r.join(n, "node"))
+        kept.drop(r)
+        return out
+
+    tokens = sigs.select("id", "sig")
+    apart = mixed(labelled(live.filter("n > 2").select("node", "k", "id"), dense))
+    parts = apart.join(tokens, "id").withColumn("side", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / FOREST)).cast("int"))
+    heavy = confirm(kept, docs, _pairs_of(parts, ["node", "side"], forest=True))
+    dense = kept.put(dense.unionByName(heavy))
+    at, found = mixed(labelled(apart.select("node", "k", "id"), dense)), []
+    few = F.col("n") - F.col("most") <= LIMIT
+    longer = kept.put(long_signatures(only(docs, "doc_id", at.select("id").distinct())).groupBy("id").agg(F.first("sig").alias("sig")))
+    skip = at.filter(~few).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("skip"))
+    at = kept.put(at.join(skip, "id", "left").withColumn("skip", F.coalesce("skip", F.lit(0))).join(sigs.select("id", "root"), "id").join(longer, "id"))
     for depth in range(DEPTH + 1):
         if at.isEmpty():
             break
-        found.append(kept.put(_pairs_of(at.filter(F.col("n") <= LIMIT).withColumn("side", F.lit(0)), ["node"], False).distinct()))
-        large = at.filter(F.col("n") > LIMIT)
+        parts, minor = F.ceil(F.col("n") / FOREST).cast("int"), F.col("comp") != F.col("major")
+        # those outside the largest component go to every part of it
+        dealt = at.filter(few).withColumn("part", F.explode(F.when(minor, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), parts).cast("int")))))
+        found.append(kept.put(_pairs_of(dealt.withColumn("side", minor.cast("int")), ["node", "part"], first=depth == 0).distinct()))
+        large = at.filter(~few)
         if depth == DEPTH:
             # each pair of blocks of a node meets once
             blocks = F.ceil(F.col("n") * 2 / LIMIT).cast("int")
             cut = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             cut = cut.select("node", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "comp", "sig", "own", "other")
-            across = _pairs_of(cut.filter("own <> other").drop("own", "other"), ["node", "x", "y"], True)
-            within = _pairs_of(cut.filter("own = other").drop("own", "other"), ["node", "x", "y"], False)
+            across = _pairs_of(cut.filter("own <> other").drop("own", "other"), ["node", "x", "y"], sides=True)
+            within = _pairs_of(cut.filter("own = other").drop("own", "other").withColumn("side", F.lit(1)), ["node", "x", "y"])
             found.append(kept.put(across.unionByName(within).distinct()))
             break
-        child = F.explode(F.array(*[F.struct(F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SIZE)).cast("int").alias("k"), F.lit(j).alias("j")) for j in (0, 1)]))
+        child = F.explode(F.array(*[F.struct(F.pmod(F.xxhash64("node", F.lit(j)), F.lit(LONG)).cast("int").alias("k"), F.lit(j).alias("j")) for j in (0, 1)]))
         split = large.withColumn("c", child).select(F.xxhash64("node", "c.j", F.get("sig", F.col("c.k"))).alias("node"), "id", "comp", "sig")
         at = mixed(split)
 
