@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from ..operators import aggregates, conversations, knowledge, joins, scalars, windows  # noqa: F401  they register themselves
+from ..sources import layout  # noqa: F401
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
