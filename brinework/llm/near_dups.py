@@ -52,6 +52,25 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return shingle_sets(Words(*utf8(column), lower=True), WORDS)
 
 
+def minwise(sets: list[np.ndarray], size: int) -> np.ndarray:
+    """(sets, size) least 32-bit hashes; empty sets have zeros. In blocks that stay in cache."""
+    n = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros((len(sets), size), np.uint32)
+    full = np.flatnonzero(n)
+    ends = np.cumsum(n[full])
+    a = 0
+    while a < len(full):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - n[full[a]] + (1 << 14))))
+        flat = np.concatenate([sets[i] for i in full[a:b]])
+        at = np.append(0, np.cumsum(n[full[a:b]])[:-1])
+        got = np.empty((size, b - a), np.uint64)
+        for k in range(size):
+            got[k] = np.minimum.reduceat((flat ^ _B[k]) * _A[k], at)
+        out[full[a:b]] = (got >> np.uint64(32)).T
+        a = b
+    return out
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_shingles, hi, lo, root, sig): hashes of the whole set, 32 bits of the trees' first tokens, 16 of all."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,13 +78,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sets = _sets(b.column("text"))
             n = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(n)
-            sig = np.zeros((len(sets), SIZE), np.uint32)
+            sig = minwise(sets, SIZE)
             hi, lo = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
             if len(full):
                 flat = np.concatenate([sets[i] for i in full])
                 at = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-                for k in range(SIZE):
-                    sig[full, k] = np.minimum.reduceat(((flat ^ _B[k]) * _A[k]) >> np.uint64(32), at)
                 hi[full] = np.add.reduceat((flat ^ _A[0]) * _B[1] ^ (flat >> np.uint64(29)), at)
                 lo[full] = np.add.reduceat((flat ^ _A[1]) * (flat | np.uint64(1)), at)
             offsets = np.arange(len(sets) + 1, dtype=np.int32)
@@ -81,7 +98,7 @@ def long_signatures(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = _sets(b.column("text"))
-            sig = np.stack([[np.min(((s ^ _B[k]) * _A[k]) >> np.uint64(32)) if len(s) else 0 for k in range(LONG)] for s in sets]) if len(sets) else np.zeros((0, LONG))
+            sig = minwise(sets, LONG)
             offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * LONG)
             yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(sig.astype(np.uint16).ravel().view(np.int16)))], ["id", "sig"])
 
