@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import PUNCTUATION, Words, map_batches, mix, seeds, utf8, windows
+from .shared import PUNCTUATION, Words, map_batches, mix, row_and, seeds, utf8, windows
 
 LEAST, WALKS, TABLES, BITS, BLOCK = 5, 8, 12, 3, 20_000
 _PAIRS = 24
@@ -258,5 +258,5 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
                 bad = {t for t, *_ in sent.value.matches(*word_hashes(b.column("text")))}
                 yield pa.record_batch([b.column("row").filter(pa.array([k not in bad for k in range(b.num_rows)], pa.bool_()))], ["row"])
 
-        docs = map_batches(rows, work, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
+        docs = map_batches(rows, work, row_and(rows)).select("row.*")
     return docs

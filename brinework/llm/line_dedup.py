@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import Kept, components, line_blocks, line_hashes, line_spans, map_batches, mix, prefix_sums, sieve, sieved, signed, span_hash, utf8
+from .shared import Kept, components, line_blocks, line_hashes, line_spans, map_batches, mix, prefix_sums, row_and, sieve, sieved, signed, span_hash, utf8
 
 EDITS, LEAST = 2, 24
 #: Stands in for a null document id.
@@ -278,7 +279,7 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 stay.append(not drop or bool(texts[k].split()))
             yield pa.record_batch([b.column("row"), pa.array(texts, pa.string())], ["row", "text"]).filter(pa.array(stay, pa.bool_()))
 
-    made = map_batches(rows, work, f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    made = map_batches(rows, work, row_and(rows, text=T.StringType()))
 
     def column(c: str):
         old = F.col(f"row.`{c}`")

@@ -144,7 +144,9 @@ _ENTITY = re.compile(r"(?i)&#0*64;|&#x0*40;|&commat;|%40")
 _AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*")
 _DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.|punto|punkt|point)\s*[\])}>]\s*")
 _LABEL = r"[A-Za-z0-9-]+"
-_SPELT = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]+ (?:dot|punto|punkt|point) )*[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-](?: at | ?@ ?){_LABEL}(?:(?: (?:dot|punto|punkt|point) |\.){_LABEL})*(?: (?:dot|punto|punkt|point) )[A-Za-z]{{2,}}")
+#: Words that follow "at" in prose and name no host.
+_PROSE = r"(?:the|a|an|this|that|these|those|my|our|your|his|her|its|their|each|every|any|some|no|one)"
+_SPELT = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]+ (?:dot|punto|punkt|point) )*[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-](?: at (?!{_PROSE} )| ?@ ?){_LABEL}(?:(?: (?:dot|punto|punkt|point) |\.){_LABEL})*(?: (?:dot|punto|punkt|point) )[A-Za-z]{{2,}}")
 _LOOSE = re.compile(r"(?<=[A-Za-z0-9_%+-])(?: @ ?|@ )(?=[A-Za-z0-9-]+\.[A-Za-z]{2,})")
 _DOTTED = re.compile(r"(?i) (?:dot|punto|punkt|point) ")
 _RUN = re.compile(rf"(?i)(?<!\w)(?:(?:plus|\+) ?)?(?:(?:{_ONE}|[0-9]+)(?:(?: (?:dot|point|punto|punkt) |[ .,\-]{{1,2}})(?={_ONE}|[0-9]))?)+(?!\w)")

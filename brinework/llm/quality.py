@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import Kept, Words, line_hashes, line_spans, map_batches, utf8, windows
+from .shared import Kept, Words, line_hashes, line_spans, map_batches, row_and, utf8, windows
 
 #: ratio: the least distance of a fence from the median.
 GAPS = {"symbol_ratio": 0.10, "dup_line_ratio": 0.50, "repeat_ratio": 0.40, "word_length": 3.0, "pipe_ratio": 0.15, "capital_ratio": 0.35}
@@ -32,8 +33,7 @@ SENT_GROUPS = 50_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_pipes long, n_capitals long, n_letters long"
-_NAMES = [x.split()[0] for x in FEATURES.split(", ")]
+_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_pipes", "n_capitals", "n_letters"]
 
 
 def _line_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +65,7 @@ def _repeats(hashes: np.ndarray, size: int = 3) -> int:
 
 
 def measure(column: pa.Array) -> list[np.ndarray]:
-    """The FEATURES of every text of an Arrow column."""
+    """The counts named in _NAMES of every text of an Arrow column."""
     data, offsets = utf8(column)
     w = Words(data, offsets, lower=False)
     n = len(offsets) - 1
@@ -95,7 +95,7 @@ def measure(column: pa.Array) -> list[np.ndarray]:
 
 
 def with_features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or the columns ``keep`` of it) with a struct column __q of FEATURES."""
+    """``docs`` (or the columns ``keep`` of it) with a struct column q of those counts."""
     keep = docs.columns if keep is None else keep
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     kind = pa.struct([(x, pa.int64()) for x in _NAMES])
@@ -105,8 +105,7 @@ def with_features(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
             cols = [pa.array(x, pa.int64()) for x in measure(b.column("text"))]
             yield pa.record_batch([b.column("row"), pa.StructArray.from_arrays(cols, fields=list(kind))], ["row", "q"])
 
-    row = src.schema["row"].dataType.simpleString()
-    return map_batches(src, work, f"row {row}, q struct<{', '.join(FEATURES.replace(' long', ':long').split(', '))}>")
+    return map_batches(src, work, row_and(src, q=T.StructType([T.StructField(x, T.LongType()) for x in _NAMES])))
 
 
 def ratios() -> dict:

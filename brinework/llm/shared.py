@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH_ROWS = 1024
 BLOCK_BYTES = 1 << 18
@@ -74,7 +75,7 @@ def _quietly(f: Callable, *args) -> None:
 
 # --- batches -------------------------------------------------------------
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow over batches of at most BATCH_ROWS rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
@@ -83,6 +84,11 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(f, schema)
 
 
+def row_and(rows: DataFrame, **more: T.DataType) -> T.StructType:
+    """Schema of the struct column ``row`` of ``rows`` and more columns beside it; names in it may hold any sign."""
+    return T.StructType([T.StructField("row", rows.schema["row"].dataType), *[T.StructField(k, v) for k, v in more.items()]])
+
+
 def strings(column: pa.Array) -> list[str]:
     """A string column with null as the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]
