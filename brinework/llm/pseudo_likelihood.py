@@ -6,14 +6,19 @@ and to CLASSES x CLASSES outputs, predicted as a class and then a member of it,
 that no vocabulary has to be gathered. A document's score is the sum over its words
 of log P(word | both sides).
 
-Training goes over every word of the corpus. In each of ``rounds`` rounds, every
-task trains its own copy on its rows of the round by Adagrad, and the copies are
-averaged by their words: one row for each task and 64 weights, summed by shuffle.
-Only the averaged weights (some 300 KB, whatever the corpus) reach the driver.
+Training goes over every word of the corpus, in ``rounds`` rounds. Texts are cut into
+blocks of BLOCK words with their neighbours, four bytes a word, and a hash deals the
+blocks to a round and, within it, to copies of the network that see about COPY_WORDS
+words each. So a copy's share is a mixture of the whole corpus however the files are
+laid out (a hot source or one very long text is spread over all copies), and the
+number of copies, not the work of one, grows with the corpus. Each copy trains by
+Adagrad; the copies are averaged by their words, one row for each task and LANES
+weights, summed by shuffle. Only the averaged weights (some 300 KB, whatever the
+corpus) reach the driver.
 
 Null and empty texts have no words, score 0 and a null mean. Repeated rows train and
-score as often as they stand; an empty table leaves the weights as they began. Other
-columns are not looked at.
+score as often as they stand, and are dealt one by one; an empty table leaves the
+weights as they began. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, map_batches, utf8
+from .shared import Kept, Words, map_batches, utf8
 
 IN, CLASSES, WIDTH, HIDDEN = 4096, 32, 8, 16
 SIDES = (-2, -1, 1, 2)
@@ -35,6 +40,10 @@ SHAPES = {
     "g": (CLASSES, HIDDEN), "v": (HIDDEN, CLASSES), "vb": (CLASSES,),
 }
 LANES = 64
+#: Words of a block, and about how many words train one copy in one round.
+BLOCK, COPY_WORDS = 4096, 1 << 20
+#: A word's code: input bucket (or IN, the pad) in 13 bits, class and member in 5 each.
+_BUCKET, _CLASS, _MEMBER = (1 << 13) - 1, 13, 18
 
 
 def first_weights(seed: int = 5) -> np.ndarray:
@@ -107,35 +116,83 @@ def windows_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return ids, at, w.hash, w.first
 
 
-def chunks(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray):
+def outputs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each word, and its member there."""
+    return (hashes >> np.uint64(40)).astype(np.int64) % CLASSES, (hashes >> np.uint64(50)).astype(np.int64) % CLASSES
+
+
+def chunks(ids: np.ndarray, at: np.ndarray, cls: np.ndarray, mem: np.ndarray):
     side = np.array(SIDES)
     for lo in range(0, len(at), STEP):
-        a, h = at[lo:lo + STEP], hashes[lo:lo + STEP]
-        yield ids[a[:, None] + side], (h >> np.uint64(40)).astype(np.int64) % CLASSES, (h >> np.uint64(50)).astype(np.int64) % CLASSES
+        own = slice(lo, lo + STEP)
+        yield ids[at[own][:, None] + side], cls[own], mem[own]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, weights: np.ndarray | None = None) -> np.ndarray:
+def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(deal, n, codes): n words and the two codes on either side of them; deal is a hash of the row's place."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = 0
+        for b in batches:
+            ids, at, hashes, first = windows_of(b.column("text"))
+            codes = ids.copy()
+            cls, mem = outputs(hashes)
+            codes[at] |= (cls << _CLASS | mem << _MEMBER).astype(np.int32)
+            rows, parts, n, made = [], [], [], []
+            for i, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                for part, s in enumerate(range(lo, hi, BLOCK)):
+                    e = min(hi, s + BLOCK)
+                    rows.append(i)
+                    parts.append(part)
+                    n.append(e - s)
+                    made.append(codes[s + 2 * i:e + 2 * i + 4].tobytes())
+            places = pa.array(rows, pa.int64())
+            yield pa.record_batch([b.column("doc_id").take(places), pa.array([row + i for i in rows], pa.int64()), pa.array(parts, pa.int64()), pa.array(n, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "row", "part", "n", "codes"])
+            row += b.num_rows
+
+    cut = map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), work, "doc_id long, row long, part long, n long, codes binary")
+    return cut.select(F.xxhash64("doc_id", "row", "part").alias("deal"), "n", "codes")
+
+
+def block_windows(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``chunks`` wants, from the codes of many blocks."""
+    flat = np.frombuffer(b"".join(codes), np.int32)
+    ends = np.cumsum([len(c) // 4 for c in codes])
+    target = np.ones(len(flat), bool)
+    for k in (1, 2):
+        target[ends - k] = False
+    starts = ends - [len(c) // 4 for c in codes]
+    for k in (0, 1):
+        target[starts + k] = False
+    at = np.flatnonzero(target)
+    own = flat[at]
+    return flat & _BUCKET, at, own >> _CLASS & CLASSES - 1, own >> _MEMBER & CLASSES - 1
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, weights: np.ndarray | None = None, copy_words: int = COPY_WORDS) -> np.ndarray:
     """Weights after every word has been a target once."""
     flat = first_weights() if weights is None else weights
-    rows = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(rounds)).alias("round"))
-    for r in range(rounds):
+    kept = Kept(docs.sparkSession)
+    turn = F.pmod("deal", F.lit(rounds))
+    cut = kept.put(blocks(docs, id_col, text_col))
+    words = {r["turn"]: r["n"] for r in cut.groupBy(turn.alias("turn")).agg(F.sum("n").alias("n")).collect()}  # one row a round
+    schema = ", ".join(["k long", "n double", *[f"w{i} double" for i in range(LANES)]])
+    for r in sorted(words):
+        copies = -(-words[r] // copy_words)
         start = flat
 
-        def work(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            net, seen = Net(start.copy()), 0
-            for b in batches:
-                ids, at, hashes, _ = windows_of(b.column("text"))
-                for chunk in chunks(ids, at, hashes):
-                    net.train(*chunk)
-                seen += len(at)
-            if seen:
-                lanes = (net.flat.astype(np.float64) * seen).reshape(-1, LANES)
-                yield pa.record_batch([pa.array(np.arange(len(lanes)), pa.int64()), pa.array([float(seen)] * len(lanes)), *[pa.array(lanes[:, i].copy()) for i in range(LANES)]], ["k", "n", *[f"w{i}" for i in range(LANES)]])
-
-        copies = map_batches(rows.filter(F.col("round") == r).select("text"), work, ", ".join(["k long", "n double", *[f"w{i} double" for i in range(LANES)]]))
-        got = copies.groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(LANES)]).orderBy("k").toPandas()
-        if len(got):
-            flat = (got[[f"w{i}" for i in range(LANES)]].to_numpy() / got[["n"]].to_numpy()).ravel().astype(np.float32)
+        def work(share: pa.Table) -> pa.Table:
+            net, share = Net(start.copy()), share.sort_by("deal")
+            ids, at, cls, mem = block_windows(share["codes"].to_pylist())
+            for chunk in chunks(ids, at, cls, mem):
+                net.train(*chunk)
+            lanes = (net.flat.astype(np.float64) * len(at)).reshape(-1, LANES)
+            return pa.table([pa.array(np.arange(len(lanes)), pa.int64()), pa.array([float(len(at))] * len(lanes)), *[pa.array(lanes[:, i].copy()) for i in range(LANES)]], ["k", "n", *[f"w{i}" for i in range(LANES)]])
+
+        share = cut.filter(turn == r).select(F.pmod(F.xxhash64("deal"), F.lit(copies)).alias("copy"), "deal", "codes")
+        made = share.groupBy("copy").applyInArrow(work, schema)
+        got = made.groupBy("k").agg(F.sum("n").alias("n"), *[F.sum(f"w{i}").alias(f"w{i}") for i in range(LANES)]).orderBy("k").toPandas()
+        flat = (got[[f"w{i}" for i in range(LANES)]].to_numpy() / got[["n"]].to_numpy()).ravel().astype(np.float32)
+    kept.drop(cut)
     return flat
 
 
@@ -145,7 +202,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
         net = Net(weights)
         for b in batches:
             ids, at, hashes, first = windows_of(b.column("text"))
-            logs = [net.forward(*c)[0].astype(np.float64) for c in chunks(ids, at, hashes)]
+            logs = [net.forward(*c)[0].astype(np.float64) for c in chunks(ids, at, *outputs(hashes))]
             sums = np.concatenate([[0.0], np.cumsum(np.concatenate(logs))]) if logs else np.zeros(1)
             n, total = np.diff(first), sums[first[1:]] - sums[first[:-1]]
             mean = [None if k == 0 else float(t / k) for k, t in zip(n.tolist(), total.tolist())]

@@ -1,6 +1,9 @@
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from brinework.llm import decontamination, langid, pseudo_likelihood, quality, queries
 
 from .cases import SMALL, SPACE, edge, nearest_stretch, none, small
@@ -112,3 +115,14 @@ def test_pseudo_likelihood_of_edge_rows(spark):
     assert by[7].n_tokens == 30_000 and by[7].log_likelihood < 0
     assert (pseudo_likelihood.train(none(spark)) == pseudo_likelihood.first_weights()).all()
     assert pseudo_likelihood.score(none(spark), pseudo_likelihood.first_weights()).count() == 0
+
+
+def test_pseudo_likelihood_blocks_hold_every_window_once(spark):
+    p = pseudo_likelihood
+    texts = [r.text or "" for r in edge(spark).collect()]
+    ids, at, hashes, _ = p.windows_of(pa.array(texts))
+    plain = Counter(tuple(x) for i, c, m in p.chunks(ids, at, *p.outputs(hashes)) for x in np.column_stack([i, c, m]).tolist())
+    cut = p.blocks(edge(spark), "doc_id", "text").collect()
+    dealt = Counter(tuple(x) for i, c, m in p.chunks(*p.block_windows([bytes(r.codes) for r in cut])) for x in np.column_stack([i, c, m]).tolist())
+    assert dealt == plain and sum(r.n for r in cut) == len(at)
+    assert max(r.n for r in cut) == p.BLOCK
