@@ -2,7 +2,8 @@
 
 Base detectors find email, ip, card and phone in the text as it stands. Where a
 text has a trigger (a look-alike letter, an invisible character, a run of spelled
-digits, a bracketed or spelled "at" or "dot", an entity for @), a chain of
+digits, a bracketed or spelled "at" or "dot", an @ beside white space, a letter for a
+digit, an entity for @: one for each transducer, as wide as its pattern), a chain of
 transducers rewrites the surroundings; each keeps, for every character it writes,
 the source range that it came from. The same detectors run over the rewritten
 text, and their spans go back through those ranges to source characters. A span
@@ -101,12 +102,8 @@ _WORDS = {
 }
 _ONE = "|".join(sorted(_WORDS, key=len, reverse=True))
 _ODD = "".join(map(re.escape, _PLAIN)) + _UNSEEN
-#: What makes a text worth rewriting. Look-alikes count beside ASCII letters, digits or @ only.
-_TRIGGER = re.compile(
-    rf"(?i:\b(?:{_ONE})(?:[ \-.,]{{1,2}}(?:{_ONE}|plus|dot|point|[0-9])\b){{3}})"
-    rf"|(?i:[\[({{<] ?(?:at|@|arroba|dot|\.|punto|punkt|point) ?[\])}}>])|(?i:\w [aA][tT] \S+ (?:dot|punto|punkt|point) \w)|(?i:@ ?\S+ (?:dot|punto|punkt|point) \w)|\w (?:@ ?|@)\w+[ .]|&#0*64;|&#x0*40;|&commat;|%40"
-    rf"|[{_ODD}]"
-)
+_FOLD = re.compile(f"[{_ODD}]")
+_FOLDED = frozenset(_UNSEEN).union(_PLAIN)
 _REACH = 160
 
 
@@ -118,8 +115,9 @@ def read(text: str, start: int) -> tuple[list[str], list[int], list[int]]:
 def rewrite(tape, pattern: re.Pattern, how):
     """The tape with ``how(match)`` in place of each match; None leaves it as it is.
 
-    The first of the written characters begins where the match does and the last
-    ends where it does; those within stand for the whole match.
+    ``how`` gives a text, whose first character begins where the match does and whose
+    last ends where it does, those within standing for the whole match; or a list of
+    (text, start, end), each text standing for that part of the match.
     """
     chars, starts, ends = tape
     text = "".join(chars)
@@ -132,26 +130,50 @@ def rewrite(tape, pattern: re.Pattern, how):
         out += chars[at:i]
         s += starts[at:i]
         e += ends[at:i]
-        out += new
-        s += [starts[i]] * len(new)
-        e += [ends[j - 1]] * len(new)
+        for piece, a, b in [(new, i, j)] if isinstance(new, str) else new:
+            out += piece
+            s += [starts[a]] * len(piece)
+            e += [ends[b - 1]] * len(piece)
         at = j
     return out + chars[at:], s + starts[at:], e + ends[at:]
 
 
-_FOLD = re.compile(f"[{_ODD}]")
 _ENTITY = re.compile(r"(?i)&#0*64;|&#x0*40;|&commat;|%40")
 _AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*")
 _DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.|punto|punkt|point)\s*[\])}>]\s*")
 _LABEL = r"[A-Za-z0-9-]+"
 #: Words that follow "at" in prose and name no host.
 _PROSE = r"(?:the|a|an|this|that|these|those|my|our|your|his|her|its|their|each|every|any|some|no|one)"
-_SPELT = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]+ (?:dot|punto|punkt|point) )*[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-](?: at (?!{_PROSE} )| ?@ ?){_LABEL}(?:(?: (?:dot|punto|punkt|point) |\.){_LABEL})*(?: (?:dot|punto|punkt|point) )[A-Za-z]{{2,}}")
+#: Words that stand before "at" in prose ("find us at host.org") and name no mailbox.
+_ASIDE = r"(?:me|us|him|her|it|them|you|is|are|was|were|be|been|look|looks|looking|looked|found|available|online|here|site|website|page|pages|more|visit|hosted|and|or)"
+#: After a plain full stop a host's last label is in one case: in "home.Then" a space is missing.
+_TLD = r"(?-i:[a-z]{2,}|[A-Z]{2,})(?![A-Za-z0-9])"
+_SAID = r" (?:dot|punto|punkt|point) "
+_SPELT = re.compile(
+    rf"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]+{_SAID})*(?:"
+    rf"[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-](?: at (?!{_PROSE} )| ?@ ?){_LABEL}(?:(?:{_SAID}|\.){_LABEL})*{_SAID}[A-Za-z]{{2,}}"
+    rf"|(?!{_ASIDE} at )[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-](?: at | ?@ ?)(?:{_LABEL}(?:{_SAID}|\.))+{_TLD})"
+)
 _LOOSE = re.compile(r"(?<=[A-Za-z0-9_%+-])(?: @ ?|@ )(?=[A-Za-z0-9-]+\.[A-Za-z]{2,})")
 _DOTTED = re.compile(r"(?i) (?:dot|punto|punkt|point) ")
 _RUN = re.compile(rf"(?i)(?<!\w)(?:(?:plus|\+) ?)?(?:(?:{_ONE}|[0-9]+)(?:(?: (?:dot|point|punto|punkt) |[ .,\-]{{1,2}})(?={_ONE}|[0-9]))?)+(?!\w)")
 _TOKEN = re.compile(rf"(?i)plus|\+|{_ONE}|[0-9]+| (?:dot|point|punto|punkt) |[ .,\-]+")
-_ZERO = re.compile(r"(?<=[0-9])[OolI](?=[ -]?[0-9])")
+_ZERO = re.compile(r"(?:(?<=[0-9])|(?<=[0-9][ -]))[OolI]+(?=[ -]?[0-9])")
+_STEM = "[" + "".join(sorted({c for w in _WORDS for c in (w[0], w[0].upper())})) + "]"
+#: What makes a text worth rewriting: for each transducer a pattern that is found wherever
+#: its own would change something, given that the ones before it changed nothing there.
+_TRIGGERS = (
+    re.compile(r"[&%](?i:#0*64;|#x0*40;|commat;|40)"),
+    re.compile(r"(?i:[\[({<]\s*(?:at|@|arroba|dot|\.|punto|punkt|point)\s*[\])}>])"),
+    # a spelled dot, in a number or an address
+    re.compile(r" (?i:dot|punto|punkt|point) (?=[A-Za-z0-9_%+-])"),
+    # a run of spelled digits has one that another element follows
+    re.compile(rf"(?={_STEM})(?i:(?<![^\W0-9_])|(?<=plus))(?i:{_ONE})(?i:{_SAID}|[ .,\-]{{0,2}})(?i:{_ONE}|[0-9])"),
+    re.compile(r"[0-9][ -]?[OolI]+[ -]?[0-9]"),
+    re.compile(rf" [aA][tT] {_LABEL}\.[A-Za-z0-9]"),
+    re.compile(r" @ ?[A-Za-z0-9-]+\.[A-Za-z0-9]|@ [A-Za-z0-9-]+\.[A-Za-z0-9]"),
+)
+
 
 
 def _fold(m):
@@ -167,24 +189,30 @@ def _address(tape):
 
 
 def _digits(m):
-    """A run with at least four spelled digits as digits; single spaces between them go."""
-    tokens = _TOKEN.findall(m[0])
-    if sum(t.lower() in _WORDS for t in tokens) < 4:
+    """A run of digits, at least four of them or a dot spelled, as digits.
+
+    White space goes within a run of four spelled digits or more; in others between
+    two spelled ones only, so that numbers beside each other stay two.
+    """
+    places = [x.span() for x in _TOKEN.finditer(m[0])]
+    tokens = [m[0][a:b].lower() for a, b in places]
+    spelled = sum(t in _WORDS for t in tokens)
+    if spelled < 4 and not any(_DOTTED.fullmatch(t) for t in tokens):
         return None
     out = []
-    for t in tokens:
-        low = t.lower()
-        if low in _WORDS:
-            out.append(str(_WORDS[low]))
-        elif low in ("plus", "+"):
-            out.append("+")
-        elif t.strip().lower() in ("dot", "point", "punto", "punkt") or t == ".":
-            out.append(".")
-        elif t.isdigit():
-            out.append(t)
-        elif "-" in t:
-            out.append("-")
-    return "".join(out)
+    for k, t in enumerate(tokens):
+        if t in _WORDS:
+            t = str(_WORDS[t])
+        elif t in ("plus", "+"):
+            t = "+"
+        elif _DOTTED.fullmatch(t):
+            t = "."
+        elif t == "." or t.isdigit():
+            pass
+        elif spelled >= 4 or t.isspace() and 0 < k < len(tokens) - 1 and tokens[k - 1] in _WORDS and tokens[k + 1] in _WORDS:
+            t = "-" if "-" in t else ""
+        out.append((t, m.start() + places[k][0], m.start() + places[k][1]))
+    return out
 
 
 def normalise(text: str, start: int = 0):
@@ -194,7 +222,7 @@ def normalise(text: str, start: int = 0):
     tape = rewrite(tape, _AT, lambda m: "@")
     tape = rewrite(tape, _DOT, lambda m: ".")
     tape = rewrite(tape, _RUN, _digits)
-    tape = rewrite(tape, _ZERO, lambda m: "0" if m[0] in "Oo" else "1")
+    tape = rewrite(tape, _ZERO, lambda m: [("0" if c in "Oo" else "1", k, k + 1) for k, c in enumerate(m[0], m.start())])
     tape = _address(tape)
     return rewrite(tape, _LOOSE, lambda m: "@")
 
@@ -210,15 +238,21 @@ def spelled_phone(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def triggers(text: str) -> list[tuple[int, int]]:
+    """Where some transducer may have work, by start."""
+    wanted = _TRIGGERS if text.isascii() or _FOLDED.isdisjoint(text) else (_FOLD, *_TRIGGERS)
+    return sorted(m.span() for p in wanted for m in p.finditer(text))
+
+
 def hidden_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans that only the rewritten text shows, in source offsets."""
     areas: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - _REACH), min(len(text), m.end() + _REACH)
+    for first, last in triggers(text):
+        lo, hi = max(0, first - _REACH), min(len(text), last + _REACH)
         # an area ends at white space, so that no identifier is cut
-        while lo > 0 and not text[lo].isspace() and m.start() - lo < 8 * _REACH:
+        while lo > 0 and not text[lo].isspace() and first - lo < 8 * _REACH:
             lo -= 1
-        while hi < len(text) and not text[hi].isspace() and hi - m.end() < 8 * _REACH:
+        while hi < len(text) and not text[hi].isspace() and hi - last < 8 * _REACH:
             hi += 1
         if areas and lo <= areas[-1][1]:
             areas[-1][1] = max(hi, areas[-1][1])
@@ -240,8 +274,6 @@ def hidden_spans(text: str) -> list[tuple[str, int, int]]:
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans."""
     base = base_spans(text)
-    if not _TRIGGER.search(text):
-        return base, base
     added = [x for x in hidden_spans(text) if not any(k == x[0] and s <= x[1] and x[2] <= e for k, s, e in base)]
     return base, sorted([*base, *added], key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -62,6 +62,32 @@ def test_disguises_map_back_to_the_source(kind, hidden, lead):
     assert set(base) <= set(every)
 
 
+@pytest.mark.parametrize("kind, hidden", [
+    ("ip", "10 dot 0 dot 0 dot 1"),
+    ("ip", "192 dot one six eight dot 0.1"),
+    ("email", "jane at example.com"),
+    ("email", "jane dot doe@mail.example.org"),
+    ("email", "jane dot doe at mail.example.org"),
+    ("email", "jane[ at ]example.com"),
+    ("email", "jane[\tat  ]example( dot\t)com"),
+    ("email", "jane@ example.org"),
+    ("email", "jane @ example.org"),
+    ("card", "4111 1111 1111 l111"),
+    ("card", "4OO0 0000 0000 0002"),
+    ("phone", "plus four 9 three 0 one 2 three 4 five 6 seven"),
+])
+def test_every_transducer_is_triggered(kind, hidden):
+    text = f"word {'x' * 400} see: {hidden}, thanks {'y' * 400}"
+    base, every = pii.find(text)
+    assert (kind, hidden) in [(k, text[s:e]) for k, s, e in every if (k, s, e) not in base]
+
+
+def test_hosts_and_numbers_in_prose_stay():
+    for text in ("find us at example.com today", "he was at home.Then it rained", "3 point 5 of 12 came", "meet at 5.30 pm", "the point is made"):
+        assert pii.find(text) == ([], [])
+    assert pii.find("level 1 point 2 1.0.0.1") == ([("ip", 16, 23)], [("ip", 16, 23)])
+
+
 def test_plain_prose_stays_clean():
     for text in ("Meet me at the dot on the map, one or two of us.", "Er kam um drei und ging um vier.", "a @ b", "dot dot dot"):
         assert pii.find(text) == ([], [])
