@@ -1,21 +1,25 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of LEAST bytes or more that equal each other, or lie within EDITS edits (of
-UTF-8 bytes) of each other, form a class; a class keeps its first line (least
-document id, then least line number) and loses the others.
-
-A line is split into EDITS + 1 segments. Within EDITS edits one of them stays whole,
-so a line shorter by up to EDITS is found by probing its segments' substring index:
-for each length and segment the few substrings of the longer line that can stand
-there when edits to the left and right of it add up. Index entries and probes meet by
-the hash of (length, segment, substring) in one shuffle. Within a meeting, a 64-bit
-parity of the lines' byte pairs drops those more than EDITS edits apart (an edit flips
-four bits at most); what is left is verified by banded bit-parallel edit distance.
-
-Shorter lines are left as they are. Null texts have no lines. A line's identity is a
-63-bit hash. A line that repeats within its document counts once there and loses its
-later places. Rows with equal ids are one document, those with a null id as well. A
-text that loses all its words goes. Columns beyond those named pass through.
+Lines that equal each other, or lie within so many edits (of UTF-8 bytes) of each
+other as the shorter one's length allows, form a class; a class keeps its first line
+(least document id, then least line number) and loses the others. Lines under 24
+bytes must be equal; from there two edits are allowed, from 96 bytes three and one
+more at each doubling.
+
+A line of n bytes with ``edits`` allowed is split into edits + 1 segments. Within
+``edits`` edits one of them stays whole, so a line that is as long or up to ``edits``
+longer finds it by probing its segments' substring index: for each length and segment
+the few substrings of the longer line that can stand there when edits to the left and
+right of it add up. Index entries and probes meet by the hash of (length, segment,
+substring) in one shuffle. Within a meeting, a 64-bit parity of the lines' byte pairs
+drops those too many edits apart (an edit flips four bits at most); what is left is
+verified by banded bit-parallel edit distance.
+
+Lines without a letter or digit are left as they are. Null texts have no lines. A
+line's identity is a 63-bit hash. A line that repeats within its document counts once
+there and loses its later places. Rows with equal ids are one document, those with a
+null id as well. A text that loses all its words goes. Columns beyond those named pass
+through.
 """
 
 from __future__ import annotations
@@ -30,13 +34,16 @@ from pyspark.sql import types as T
 
 from .shared import Kept, components, line_blocks, line_hashes, line_spans, map_batches, mix, prefix_sums, row_and, sieve, sieved, signed, span_hash, utf8
 
-EDITS, LEAST = 2, 24
+#: A line's edits are as many as there are bounds up to its length.
+BOUNDS = np.array([24, 24, *(96 << k for k in range(25))])
 #: Stands in for a null document id.
 NO_ID = -(2**63)
 _ONE = np.uint64(1)
+# letters and digits of ASCII, and whatever lies beyond it
+_WORDED = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 
 
-def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
+def probes(edits: int) -> list[tuple[int, int, int]]:
     """(how much shorter, segment, shift) of every substring to look at; the index entries come first."""
     out = [(0, i, 0) for i in range(edits + 1)]
     for less in range(edits + 1):
@@ -46,7 +53,7 @@ def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
     return out
 
 
-def segment(length: np.ndarray, i: int, edits: int = EDITS) -> tuple[np.ndarray, np.ndarray]:
+def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and size of segment i: the last of them take what doesn't divide."""
     parts = edits + 1
     size, more = length // parts, length % parts
@@ -58,26 +65,45 @@ def identity(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return line_hashes(data, starts, ends) & ~_ONE
 
 
-def join_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lines, probes) keys, and each line's parity of byte pairs."""
-    plan = probes()
-    keys = np.zeros((len(starts), len(plan)), np.uint64)
+def allowed(length):
+    """The edits that lines may be apart of which the shorter has this length."""
+    return np.searchsorted(BOUNDS, length, "right")
+
+
+def join_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all lines, how many are each line's, and each line's parity of byte pairs.
+
+    A key's last bit is set for an index entry, the five before it hold the edits.
+    """
     parity = np.zeros(len(starts), np.uint64)
+    keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a, b in line_blocks(starts, ends):
         lo, hi = starts[a], ends[b - 1]
         part = data[lo:hi]
         sums, s, n = prefix_sums(part), starts[a:b] - lo, ends[a:b] - starts[a:b]
-        for k, (less, i, shift) in enumerate(plan):
-            at, size = segment(n - less, i)
-            at = at + s + shift
-            keys[a:b, k] = mix(span_hash(sums, at, at + size) ^ mix(((n - less) * (EDITS + 1) + i).astype(np.uint64)))
+        most = allowed(n)
+        for edits in range(1, int(most.max()) + 1):
+            # of longer lines only those that a probe shortens into this class
+            some = np.flatnonzero((most >= edits) & (allowed(n - edits) <= edits))
+            for less in range(edits + 1) if len(some) else ():
+                own = some[allowed(n[some] - less) == edits]
+                if not len(own):
+                    continue
+                for k, (shorter, i, shift) in enumerate(probes(edits)):
+                    if shorter == less:
+                        at, size = segment(n[own] - less, i, edits)
+                        at = at + s[own] + shift
+                        key = mix(span_hash(sums, at, at + size) ^ mix(((n[own] - less) * 64 + i).astype(np.uint64)))
+                        keys.append(key & ~np.uint64(63) | np.uint64(2 * edits + (k <= edits)))
+                        owner.append(own + a)
         pair = (part[:-1].astype(np.uint64) * np.uint64(0x9E3779B1) + part[1:] * np.uint64(0x85EBCA6B)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(58)
         flip = np.append(_ONE << pair, np.uint64(0))
         flip[ends[a:b] - 1 - lo] = 0  # a pair over a line's end isn't the line's
         edge = np.empty(2 * (b - a), np.int64)
         edge[0::2], edge[1::2] = s, ends[a:b] - lo
         parity[a:b] = np.bitwise_xor.reduceat(np.append(flip, np.uint64(0)), edge)[0::2]
-    return keys, parity
+    of = np.concatenate(owner)
+    return np.concatenate(keys)[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(starts)), parity
 
 
 def within(a: bytes, b: bytes, edits: int) -> bool:
@@ -117,22 +143,24 @@ def within(a: bytes, b: bytes, edits: int) -> bool:
     return score <= edits
 
 
-def long_lines(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes; starts, ends and text of the lines of LEAST bytes or more; their line numbers."""
+def worded_lines(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes; starts, ends and text of the lines with a letter or digit; their line numbers."""
     data, offsets = utf8(text)
     starts, ends = line_spans(data, offsets)
     of = np.searchsorted(offsets, starts, "right") - 1
     feeds = np.flatnonzero(data == 10)
     number = np.searchsorted(feeds, starts) - np.searchsorted(feeds, offsets[of])
-    keep = ends - starts >= LEAST
+    known = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(_WORDED[data], out=known[1:])
+    keep = known[ends] > known[starts]
     return data, starts[keep], ends[keep], of[keep], number[keep]
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, times, h, parity, keys): one row for each different long line of each row of docs."""
+    """(doc_id, line_no, times, h, parity, keys): one row for each different worded line of each row of docs."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, starts, ends, of, number = long_lines(b.column("text"))
+            data, starts, ends, of, number = worded_lines(b.column("text"))
             h = identity(data, starts, ends)
             order = np.lexsort((number, h, of))
             new = np.ones(len(order), bool)
@@ -141,29 +169,28 @@ def line_table(docs: DataFrame) -> DataFrame:
             times = np.diff(np.append(first, len(order)))
             own = np.sort(order[first])
             times = times[np.argsort(order[first], kind="stable")]
-            keys, parity = join_keys(data, starts[own], ends[own])
-            offsets = pa.array(np.arange(len(own) + 1, dtype=np.int32) * keys.shape[1])
+            keys, n_keys, parity = join_keys(data, starts[own], ends[own])
+            offsets = pa.array(np.append(0, np.cumsum(n_keys)).astype(np.int32))
             yield pa.record_batch([
                 b.column("doc_id").take(pa.array(of[own])), pa.array(number[own], pa.int64()), pa.array(times, pa.int64()), pa.array(signed(h[own])), pa.array(signed(parity)),
-                pa.ListArray.from_arrays(offsets, pa.array(signed(keys.ravel()))),
+                pa.ListArray.from_arrays(offsets, pa.array(signed(keys))),
             ], ["doc_id", "line_no", "times", "h", "parity", "keys"])
 
     return map_batches(docs, work, "doc_id long, line_no long, times long, h long, parity long, keys array<long>")
 
 
 def candidates(lines: DataFrame) -> DataFrame:
-    """(a, b): different lines that share a segment and may be within EDITS."""
-    index = EDITS + 1
-    rows = lines.select(F.posexplode("keys").alias("at", "key"), "h", "parity").select("key", F.col("h").bitwiseOR((F.col("at") < index).cast("long")).alias("id"), "parity")
+    """(a, b): different lines that share a segment and may be within the edits allowed."""
+    rows = lines.select(F.explode("keys").alias("key"), "h", "parity").select(F.col("key").bitwiseAND(F.lit(-2)).alias("key"), F.col("h").bitwiseOR(F.col("key").bitwiseAND(F.lit(1))).alias("id"), "parity")
     met = rows.repartition("key").sortWithinPartitions("key")
 
-    def pairs(ids, parity):
+    def pairs(ids, parity, edits):
         # equal lines are one; an index entry is a probe too
         ids, at = np.unique(ids, return_index=True)
         parity, line, entry = parity[at].view(np.uint64), ids & ~1, (ids & 1) > 0
         a, b = [], []
         for i in np.flatnonzero(entry).tolist():
-            near = (np.bitwise_count(parity ^ parity[i]) <= 4 * EDITS) & (line != line[i])
+            near = (np.bitwise_count(parity ^ parity[i]) <= 4 * edits) & (line != line[i])
             a.append(np.minimum(line[near], line[i]))
             b.append(np.maximum(line[near], line[i]))
         return (np.concatenate(a), np.concatenate(b)) if a else (line[:0], line[:0])
@@ -177,7 +204,7 @@ def candidates(lines: DataFrame) -> DataFrame:
             # a run matters where it has two different lines
             many = np.flatnonzero(stops - starts > 1)
             varied = [k for k in many.tolist() if ((ids[starts[k]:stops[k]] ^ ids[starts[k]]) & ~1).any()]
-            got = [pairs(ids[starts[k]:stops[k]], parity[starts[k]:stops[k]]) for k in varied]
+            got = [pairs(ids[starts[k]:stops[k]], parity[starts[k]:stops[k]], int(key[starts[k]] >> 1) & 31) for k in varied]
             empty = np.zeros(0, np.int64)
             both = np.unique(np.stack([np.concatenate([empty, *[x[0] for x in got]]), np.concatenate([empty, *[x[1] for x in got]])]), axis=1)
             return pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
@@ -202,13 +229,13 @@ def candidates(lines: DataFrame) -> DataFrame:
 
 
 def links(kept: Kept, docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b): different lines within EDITS edits."""
+    """(a, b): different lines within the edits allowed."""
     likely = kept.put(candidates(lines).distinct())
     wanted = sieve(likely.select(F.explode(F.array(F.shiftright("a", 1), F.shiftright("b", 1))).alias("i")), "i")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, starts, ends, _, _ = long_lines(b.column("text"))
+            data, starts, ends, _, _ = worded_lines(b.column("text"))
             h = signed(identity(data, starts, ends))
             at = np.flatnonzero(sieved(wanted, h >> 1))
             _, once = np.unique(h[at], return_index=True)
@@ -222,18 +249,18 @@ def links(kept: Kept, docs: DataFrame, lines: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = [within(x, y, EDITS) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+            good = [within(x, y, int(allowed(min(len(x), len(y))))) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
             yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return kept.put(map_batches(both, verify, "a long, b long"))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every long line of a class that stands more than once.
+    """Every line of a class that stands more than once.
 
     (doc_id, line_no, times, h, class_id, class_size, n_links, kept): times within the
     document, class_id the least line hash of the class, class_size its places over
-    all documents, n_links the different lines within EDITS of this one, kept for the
+    all documents, n_links the different lines linked to this one, kept for the
     place that stays.
     """
     kept = Kept(docs.sparkSession)
@@ -269,7 +296,7 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 if t is None or g is None:
                     stay.append(True)
                     continue
-                data, starts, ends, _, number = long_lines(pa.array([t], pa.string()))
+                data, starts, ends, _, number = worded_lines(pa.array([t], pa.string()))
                 drop, seen = set(), set(g)
                 for n, h in zip(number.tolist(), signed(identity(data, starts, ends)).tolist()):
                     if h in seen:

@@ -132,6 +132,39 @@ def test_dropping_lines_equals_brute_force(spark):
     assert {r.doc_id: r.text for r in got} == {i: t for i, t in want.items() if t.split()}
 
 
+def test_short_repeats_and_long_lines_with_more_edits(spark):
+    rng = random.Random(5)
+    plain = ["".join(rng.choice("abcdefghij ") for _ in range(n)) for n in (97, 200, 300, 700)]
+    docs = [(1, "Yes.\n---\nAll rights reserved.\n" + "\n".join(plain)), (2, "Yes.\n---\nAll rights reserved.\nNo."), (3, "Yes!\n---")]
+    for k, line in enumerate(plain):
+        edits = line_dedup.allowed(len(line) - 1)
+        for more in (0, 1):
+            cuts = sorted(rng.sample(range(len(line) // 9), edits + more))
+            s = list(line)
+            for x in cuts:
+                s[9 * x + 4 * more] = "X"
+            docs.append((10 + 2 * k + more, "".join(s)))
+    got = line_dedup.drop_repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    left = {r.doc_id: r.text for r in got}
+    assert left[1] == docs[0][1] and left[2] == "---\nNo." and left[3] == "Yes!\n---"
+    assert [i in left for i in range(10, 18)] == [False, True] * 4
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(min_size=20, max_size=40), st.lists(st.tuples(st.integers(0, 39), st.integers(0, 2)), max_size=7), st.integers(1, 6))
+def test_banded_distance_with_other_bounds(a, ops, edits):
+    b = bytearray(a)
+    for at, how in ops:
+        at = min(at, len(b) - 1)
+        if how == 0:
+            b[at] = 88
+        elif how == 1:
+            b.insert(at, 89)
+        else:
+            del b[at]
+    assert line_dedup.within(a, bytes(b), edits) == (distance(a, bytes(b)) <= edits)
+
+
 def test_lines_of_edge_rows(spark):
     out = line_dedup.drop_repeated(edge(spark))
     assert out.columns == edge(spark).columns
