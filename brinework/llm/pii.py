@@ -1,13 +1,13 @@
 """Personal data behind disguises, with offsets in the source.
 
 Base detectors find email, ip, card and phone in the text as it stands. Where a
-text has a trigger (a look-alike letter, an invisible character, a run of spelled
+text has a disguise (a look-alike letter, an invisible character, a run of spelled
 digits, a bracketed or spelled "at" or "dot", an @ beside white space, a letter for a
-digit, an entity for @: one for each transducer, as wide as its pattern), a chain of
-transducers rewrites the surroundings; each keeps, for every character it writes,
-the source range that it came from. The same detectors run over the rewritten
-text, and their spans go back through those ranges to source characters. A span
-found this way is added unless a base span of its kind covers it; base spans stay.
+digit, an entity for @), a chain of transducers rewrites the whole of it; each keeps,
+for every piece it writes, the source range that it came from. The same detectors run
+over the rewritten text, and their spans go back through those ranges to source
+characters, whole however long they are. A span found this way is added unless a base
+span of its kind covers it; base spans stay. All scans take time linear in the text.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Each
 row is looked at by itself, so repeated rows and ids give repeated results and no
@@ -18,7 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,7 +84,6 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 # --- transducers ---------------------------------------------------------
-# A tape is (characters, starts, ends): character i stands for source starts[i]:ends[i].
 
 #: Look-alike letters of other scripts and the ASCII they imitate.
 _CYRILLIC = ("АВЕЅІЈКМНОРСТХУаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTXYaesijopcyxhdqw")
@@ -91,8 +93,9 @@ _SIGNS = ("․。．｡·•﹒∙＠﹫＋﹢‐‑‒–—−﹣－\u00a0\u20
 _LETTERS = dict(zip(*_CYRILLIC)) | dict(zip(*_GREEK))
 _PLAIN = _LETTERS | dict(zip(*_SIGNS)) | {chr(c + 0xFEE0): chr(c) for c in range(48, 123) if chr(c).isalnum()}
 # digits of other scripts and styles, from the Unicode database
-_PLAIN |= {chr(c): str(d) for c in (*range(0x660, 0x66A), *range(0x6F0, 0x6FA), *range(0x966, 0x970), *range(0x1D7CE, 0x1D800)) for d in [__import__("unicodedata").decimal(chr(c))]}
-_UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\u2061\u2062\u2063\ufeff"
+_PLAIN |= {chr(c): str(unicodedata.decimal(chr(c))) for c in (*range(0x660, 0x66A), *range(0x6F0, 0x6FA), *range(0x966, 0x970), *range(0x1D7CE, 0x1D800))}
+_TABLE = str.maketrans(_PLAIN)
+_UNSEEN = re.compile("[\u00ad\u200b\u200c\u200d\u2060-\u2063\ufeff]+")
 #: Digit words of the four languages.
 _WORDS = {
     "zero": 0, "oh": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
@@ -101,180 +104,250 @@ _WORDS = {
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
 _ONE = "|".join(sorted(_WORDS, key=len, reverse=True))
-_ODD = "".join(map(re.escape, _PLAIN)) + _UNSEEN
-_FOLD = re.compile(f"[{_ODD}]")
-_FOLDED = frozenset(_UNSEEN).union(_PLAIN)
-_REACH = 160
-
-
-def read(text: str, start: int) -> tuple[list[str], list[int], list[int]]:
-    n = len(text)
-    return list(text), list(range(start, start + n)), list(range(start + 1, start + n + 1))
+_SAID = r" (?:dot|punto|punkt|point) "
 
 
-def rewrite(tape, pattern: re.Pattern, how):
-    """The tape with ``how(match)`` in place of each match; None leaves it as it is.
+class Tape:
+    """A rewritten text and where each of its characters comes from.
 
-    ``how`` gives a text, whose first character begins where the match does and whose
-    last ends where it does, those within standing for the whole match; or a list of
-    (text, start, end), each text standing for that part of the match.
+    Pieces lie side by side: piece k begins at ``pos[k]`` and either copies the source
+    from ``a[k]`` on (``b[k]`` is -1) or stands, each character of it, for the source
+    range ``a[k]:b[k]``. A text of few changes has few pieces, however long it is.
     """
-    chars, starts, ends = tape
-    text = "".join(chars)
-    out, s, e, at = [], [], [], 0
-    for m in pattern.finditer(text):
-        new = how(m)
-        if new is None:
-            continue
-        i, j = m.span()
-        out += chars[at:i]
-        s += starts[at:i]
-        e += ends[at:i]
-        for piece, a, b in [(new, i, j)] if isinstance(new, str) else new:
-            out += piece
-            s += [starts[a]] * len(piece)
-            e += [ends[b - 1]] * len(piece)
-        at = j
-    return out + chars[at:], s + starts[at:], e + ends[at:]
-
-
-_ENTITY = re.compile(r"(?i)&#0*64;|&#x0*40;|&commat;|%40")
-_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@|arroba)\s*[\])}>]\s*")
-_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.|punto|punkt|point)\s*[\])}>]\s*")
-_LABEL = r"[A-Za-z0-9-]+"
+
+    def __init__(self, text: str):
+        self.text, self.pos, self.a, self.b = text, [0], [0], [-1]
+
+    def source(self, i: int, j: int) -> tuple[int, int]:
+        """The source range of the characters i to j (exclusive) of the text."""
+        k, m = bisect_right(self.pos, i) - 1, bisect_right(self.pos, j - 1) - 1
+        start = self.a[k] if self.b[k] >= 0 else self.a[k] + i - self.pos[k]
+        return start, self.b[m] if self.b[m] >= 0 else self.a[m] + j - self.pos[m]
+
+    def put(self, changes: list[tuple[str, int, int]]) -> None:
+        """Writes each (new, i, j) in place of the characters i to j; in order, none overlapping."""
+        if not changes:
+            return
+        out, pos, a, b, size = [], [], [], [], 0
+
+        def copy(i: int, j: int) -> None:
+            nonlocal size
+            if i >= j:
+                return
+            out.append(self.text[i:j])
+            k = bisect_right(self.pos, i) - 1
+            while k < len(self.pos) and self.pos[k] < j:
+                skip = max(0, i - self.pos[k])
+                pos.append(size + max(0, self.pos[k] - i))
+                a.append(self.a[k] + (skip if self.b[k] < 0 else 0))
+                b.append(self.b[k])
+                k += 1
+            size += j - i
+
+        at = 0
+        for new, i, j in changes:
+            copy(at, i)
+            if new:
+                first, last = self.source(i, j)
+                out.append(new)
+                pos.append(size)
+                a.append(first)
+                b.append(last)
+                size += len(new)
+            at = j
+        copy(at, len(self.text))
+        self.text, self.pos, self.a, self.b = "".join(out), pos or [0], a or [0], b or [-1]
+
+    def replace(self, pattern: re.Pattern, new: str) -> None:
+        self.put([(new, *m.span()) for m in pattern.finditer(self.text)])
+
+
+# No pattern below has two ways to read the same characters, and none begins at each
+# place of a run that it reads to the end: every search is linear in its text.
+_ENTITY = re.compile(r"(?i)&#0*+64;|&#x0*+40;|&commat;|%40")
+_BRACKETED = re.compile(r"(?i)[\[({<]\s*+(?:at|@|arroba|dot|\.|punto|punkt|point)\s*+[\])}>]")
+_AT = re.compile(r"(?i)(?<!\s)\s*+[\[({<]\s*+(?:at|@|arroba)\s*+[\])}>]\s*+")
+_DOT = re.compile(r"(?i)(?<!\s)\s*+[\[({<]\s*+(?:dot|\.|punto|punkt|point)\s*+[\])}>]\s*+")
+_DOTTED = re.compile(rf"(?i){_SAID}")
+_STEM = "[" + "".join(sorted({c for w in _WORDS for c in (w[0], w[0].upper())})) + "]"
+# a run of spelled digits has one that another element follows
+_SPELLED = re.compile(rf"(?={_STEM})(?i:(?<![^\W0-9_])|(?<=plus))(?i:{_ONE})(?i:{_SAID}|[ .,\-]{{0,2}})(?i:{_ONE}|[0-9])")
+_SAID_NUMBER = re.compile(rf"(?i)[0-9a-z]{_SAID}(?=[0-9]|{_ONE})")
+_CHUNK = re.compile(rf"(?i)(?<!\w)(?:(?:plus|\+) ?)?(?:{_ONE}|[0-9])++(?!\w)")
+_GAP = re.compile(rf"(?i){_SAID}|[ .,\-]{{1,2}}")
+_TOKEN = re.compile(rf"(?i)plus|\+|{_ONE}|[0-9]++|{_SAID}|[ .,\-]++")
+_ZERO = re.compile(r"(?:(?<=[0-9])|(?<=[0-9][ -]))[OolI]++(?=[ -]?[0-9])")
+_SIGN = re.compile(r"(?i) at | ?@ ?")
+_SPELT_DOT = re.compile(r"(?i) (?:dot|punto|punkt|point) (?=[a-z0-9_%+-])")
+_SIGN_HOST = re.compile(r"(?i) at [a-z0-9-]++\.[a-z0-9]| @ ?[a-z0-9-]++\.[a-z0-9]|@ [a-z0-9-]++\.[a-z0-9]")
+_LOOSE = re.compile(r"(?<=[A-Za-z0-9_%+-])(?: @ ?|@ )(?=[A-Za-z0-9-]++\.[A-Za-z]{2})")
+_LABEL = re.compile(r"[A-Za-z0-9-]++")
+_NEXT_LABEL = re.compile(rf"((?i:{_SAID})|\.)([A-Za-z0-9-]++)")
+_ALPHA = re.compile(r"[A-Za-z]{2,}+")
+#: After a plain full stop a host's last label is in one case: in "home.Then" a space is missing.
+_TLD = re.compile(r"(?:[a-z]{2,}+|[A-Z]{2,}+)(?![A-Za-z0-9])")
 #: Words that follow "at" in prose and name no host.
-_PROSE = r"(?:the|a|an|this|that|these|those|my|our|your|his|her|its|their|each|every|any|some|no|one)"
+_PROSE = re.compile(r"(?i)(?:the|a|an|this|that|these|those|my|our|your|his|her|its|their|each|every|any|some|no|one) ")
 #: Words that stand before "at" in prose ("find us at host.org") and name no mailbox.
-_ASIDE = r"(?:me|us|him|her|it|them|you|is|are|was|were|be|been|look|looks|looking|looked|found|available|online|here|site|website|page|pages|more|visit|hosted|and|or)"
-#: After a plain full stop a host's last label is in one case: in "home.Then" a space is missing.
-_TLD = r"(?-i:[a-z]{2,}|[A-Z]{2,})(?![A-Za-z0-9])"
-_SAID = r" (?:dot|punto|punkt|point) "
-_SPELT = re.compile(
-    rf"(?i)(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9_%+-]+{_SAID})*(?:"
-    rf"[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-](?: at (?!{_PROSE} )| ?@ ?){_LABEL}(?:(?:{_SAID}|\.){_LABEL})*{_SAID}[A-Za-z]{{2,}}"
-    rf"|(?!{_ASIDE} at )[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-](?: at | ?@ ?)(?:{_LABEL}(?:{_SAID}|\.))+{_TLD})"
-)
-_LOOSE = re.compile(r"(?<=[A-Za-z0-9_%+-])(?: @ ?|@ )(?=[A-Za-z0-9-]+\.[A-Za-z]{2,})")
-_DOTTED = re.compile(r"(?i) (?:dot|punto|punkt|point) ")
-_RUN = re.compile(rf"(?i)(?<!\w)(?:(?:plus|\+) ?)?(?:(?:{_ONE}|[0-9]+)(?:(?: (?:dot|point|punto|punkt) |[ .,\-]{{1,2}})(?={_ONE}|[0-9]))?)+(?!\w)")
-_TOKEN = re.compile(rf"(?i)plus|\+|{_ONE}|[0-9]+| (?:dot|point|punto|punkt) |[ .,\-]+")
-_ZERO = re.compile(r"(?:(?<=[0-9])|(?<=[0-9][ -]))[OolI]+(?=[ -]?[0-9])")
-_STEM = "[" + "".join(sorted({c for w in _WORDS for c in (w[0], w[0].upper())})) + "]"
-#: What makes a text worth rewriting: for each transducer a pattern that is found wherever
-#: its own would change something, given that the ones before it changed nothing there.
-_TRIGGERS = (
-    re.compile(r"[&%](?i:#0*64;|#x0*40;|commat;|40)"),
-    re.compile(r"(?i:[\[({<]\s*(?:at|@|arroba|dot|\.|punto|punkt|point)\s*[\])}>])"),
-    # a spelled dot, in a number or an address
-    re.compile(r" (?i:dot|punto|punkt|point) (?=[A-Za-z0-9_%+-])"),
-    # a run of spelled digits has one that another element follows
-    re.compile(rf"(?={_STEM})(?i:(?<![^\W0-9_])|(?<=plus))(?i:{_ONE})(?i:{_SAID}|[ .,\-]{{0,2}})(?i:{_ONE}|[0-9])"),
-    re.compile(r"[0-9][ -]?[OolI]+[ -]?[0-9]"),
-    re.compile(rf" [aA][tT] {_LABEL}\.[A-Za-z0-9]"),
-    re.compile(r" @ ?[A-Za-z0-9-]+\.[A-Za-z0-9]|@ [A-Za-z0-9-]+\.[A-Za-z0-9]"),
-)
-
-
+_ASIDE = re.compile(r"(?i)(?:me|us|him|her|it|them|you|is|are|was|were|be|been|look|looks|looking|looked|found|available|online|here|site|website|page|pages|more|visit|hosted|and|or)")
 
-def _fold(m):
-    return "" if m[0] in _UNSEEN else _PLAIN[m[0]]
 
-
-def _address(tape):
-    """Spelled at and dot of one address: " at " and " dot " become signs inside it."""
-    def keep(m):
-        return _DOTTED.sub(".", re.sub(r"(?i) at | ?@ ?", "@", m[0], count=1))
-
-    return rewrite(tape, _SPELT, keep)
+def runs(text: str) -> Iterator[tuple[int, int]]:
+    """Digits and digit words beside each other, with what separates them."""
+    start = end = -1
+    for m in _CHUNK.finditer(text):
+        if start >= 0 and m[0][0] not in "+pP" and _GAP.fullmatch(text, end, m.start()):
+            end = m.end()
+        else:
+            if start >= 0:
+                yield start, end
+            start, end = m.span()
+    if start >= 0:
+        yield start, end
 
 
-def _digits(m):
+def _digits(text: str, start: int, stop: int) -> list[tuple[str, int, int]]:
     """A run of digits, at least four of them or a dot spelled, as digits.
 
     White space goes within a run of four spelled digits or more; in others between
     two spelled ones only, so that numbers beside each other stay two.
     """
-    places = [x.span() for x in _TOKEN.finditer(m[0])]
-    tokens = [m[0][a:b].lower() for a, b in places]
+    places = [m.span() for m in _TOKEN.finditer(text, start, stop)]
+    tokens = [text[a:b].lower() for a, b in places]
     spelled = sum(t in _WORDS for t in tokens)
     if spelled < 4 and not any(_DOTTED.fullmatch(t) for t in tokens):
-        return None
+        return []
     out = []
-    for k, t in enumerate(tokens):
+    for k, (t, (i, j)) in enumerate(zip(tokens, places)):
         if t in _WORDS:
-            t = str(_WORDS[t])
+            new = str(_WORDS[t])
         elif t in ("plus", "+"):
-            t = "+"
+            new = "+"
         elif _DOTTED.fullmatch(t):
-            t = "."
+            new = "."
         elif t == "." or t.isdigit():
-            pass
+            continue
         elif spelled >= 4 or t.isspace() and 0 < k < len(tokens) - 1 and tokens[k - 1] in _WORDS and tokens[k + 1] in _WORDS:
-            t = "-" if "-" in t else ""
-        out.append((t, m.start() + places[k][0], m.start() + places[k][1]))
+            new = "-" if "-" in t else ""
+        else:
+            continue
+        out.append((new, i, j))
     return out
 
 
-def normalise(text: str, start: int = 0):
-    tape = read(text, start)
-    tape = rewrite(tape, _FOLD, _fold)
-    tape = rewrite(tape, _ENTITY, lambda m: "@")
-    tape = rewrite(tape, _AT, lambda m: "@")
-    tape = rewrite(tape, _DOT, lambda m: ".")
-    tape = rewrite(tape, _RUN, _digits)
-    tape = rewrite(tape, _ZERO, lambda m: [("0" if c in "Oo" else "1", k, k + 1) for k, c in enumerate(m[0], m.start())])
-    tape = _address(tape)
-    return rewrite(tape, _LOOSE, lambda m: "@")
+def _mailbox(text: str, sign: int, free: int) -> int:
+    """Where the mailbox before ``sign`` begins, not before ``free``; ``sign`` itself where there is none."""
+    at = sign
+    if at <= free or text[at - 1] not in _LOCAL or text[at - 1] == ".":
+        return sign
+    while at > free and text[at - 1] in _LOCAL:
+        at -= 1
+    while True:  # "jane dot doe"
+        said = next((w for w in (7, 5) if at - w > free and _DOTTED.fullmatch(text, at - w, at)), 0)
+        back = at - said
+        if not said or text[back - 1] not in _LOCAL or text[back - 1] == ".":
+            return at
+        while back > free and text[back - 1] in _LOCAL and text[back - 1] != ".":
+            back -= 1
+        at = back
+
+
+def _host_end(text: str, at: int, aside: bool) -> int:
+    """Where a host that begins at ``at`` and has a spelled dot or an end in one case stops; -1 for none.
+
+    After a word like "us" (``aside``) the end must be spelled.
+    """
+    m = _LABEL.match(text, at)
+    labels = []
+    while m:
+        m = _NEXT_LABEL.match(text, m.end())
+        if m:
+            labels.append(m)
+    for m in reversed(labels):
+        last = _ALPHA.match(text, m.start(2), m.end(2)) if m[1] != "." else None if aside else _TLD.match(text, m.start(2))
+        if last:
+            return last.end()
+    return -1
+
+
+def addresses(text: str) -> list[tuple[str, int, int]]:
+    """Changes that put signs for " at " and " dot " inside addresses, found from each sign outward."""
+    out, free = [], 0
+    for m in _SIGN.finditer(text):
+        start = _mailbox(text, m.start(), free)
+        if start == m.start():
+            continue
+        said = m[0][1:2] in "aA" and len(m[0]) == 4
+        aside = said and (_PROSE.match(text, m.end()) or _ASIDE.fullmatch(text, start, m.start())) is not None
+        if said and _PROSE.match(text, m.end()):
+            continue
+        end = _host_end(text, m.end(), aside)
+        if end < 0:
+            continue
+        out += [(".", *d.span()) for d in _DOTTED.finditer(text, start, m.start())]
+        out.append(("@", *m.span()))
+        out += [(".", *d.span()) for d in _DOTTED.finditer(text, m.end(), end)]
+        free = end
+    return [x for x in out if text[x[1]:x[2]] != x[0]]
+
+
+def normalise(text: str) -> Tape | None:
+    """The text after all transducers; None where none of them changes anything."""
+    plain = text if text.isascii() else text.translate(_TABLE)  # sign by sign, so that places stay
+    tape = Tape(plain)
+    if not plain.isascii():
+        tape.replace(_UNSEEN, "")
+    if "&" in tape.text or "%40" in tape.text:
+        tape.replace(_ENTITY, "@")
+    if _BRACKETED.search(tape.text):
+        tape.replace(_AT, "@")
+        tape.replace(_DOT, ".")
+    if _SPELLED.search(tape.text) or _SAID_NUMBER.search(tape.text):
+        tape.put([c for i, j in runs(tape.text) for c in _digits(tape.text, i, j)])
+    tape.put([("0" if c in "Oo" else "1", k, k + 1) for m in _ZERO.finditer(tape.text) for k, c in enumerate(m[0], m.start())])
+    if _SIGN_HOST.search(tape.text) or _SPELT_DOT.search(tape.text):
+        tape.put(addresses(tape.text))
+        tape.replace(_LOOSE, "@")
+    return None if tape.text == text else tape
 
 
 def spelled_phone(text: str) -> list[tuple[int, int]]:
     """Runs of ten to fifteen spelled digits without a plus: a phone number too."""
     out = []
-    for m in _RUN.finditer(text):
-        tokens = [t.lower() for t in _TOKEN.findall(m[0])]
+    for i, j in runs(text):
+        tokens = [m[0].lower() for m in _TOKEN.finditer(text, i, j)]
         n = sum(t in _WORDS for t in tokens)
-        if 10 <= n <= 15 and not any(t.isdigit() or "dot" in t or "point" in t for t in tokens):
-            out.append(m.span())
+        if 10 <= n <= 15 and not any(t.isdigit() or _DOTTED.fullmatch(t) for t in tokens):
+            out.append((i, j))
     return out
 
 
-def triggers(text: str) -> list[tuple[int, int]]:
-    """Where some transducer may have work, by start."""
-    wanted = _TRIGGERS if text.isascii() or _FOLDED.isdisjoint(text) else (_FOLD, *_TRIGGERS)
-    return sorted(m.span() for p in wanted for m in p.finditer(text))
-
-
 def hidden_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans that only the rewritten text shows, in source offsets."""
-    areas: list[list[int]] = []
-    for first, last in triggers(text):
-        lo, hi = max(0, first - _REACH), min(len(text), last + _REACH)
-        # an area ends at white space, so that no identifier is cut
-        while lo > 0 and not text[lo].isspace() and first - lo < 8 * _REACH:
-            lo -= 1
-        while hi < len(text) and not text[hi].isspace() and hi - last < 8 * _REACH:
-            hi += 1
-        if areas and lo <= areas[-1][1]:
-            areas[-1][1] = max(hi, areas[-1][1])
-        else:
-            areas.append([lo, hi])
-    out = set()
-    for lo, hi in areas:
-        part = text[lo:hi]
-        chars, starts, ends = normalise(part, lo)
-        for kind, s, e in base_spans("".join(chars)):
-            out.add((kind, starts[s], ends[e - 1]))
-        taken = [(s, e) for _, s, e in out]
-        for s, e in spelled_phone(part):
-            if not any(a < lo + e and lo + s < b for a, b in taken):
-                out.add(("phone", lo + s, lo + e))
+    tape = normalise(text)
+    if tape is None:
+        return []
+    out = {(kind, *tape.source(s, e)) for kind, s, e in base_spans(tape.text)}
+    if _SPELLED.search(text):
+        taken = sorted((s, e) for _, s, e in out)
+        reach = list(accumulate((e for _, e in taken), max))
+        for s, e in spelled_phone(text):
+            k = bisect_left(taken, (e, -1))  # those that begin before e
+            if not k or reach[k - 1] <= s:
+                out.add(("phone", s, e))
     return sorted(out)
 
 
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans."""
     base = base_spans(text)
-    added = [x for x in hidden_spans(text) if not any(k == x[0] and s <= x[1] and x[2] <= e for k, s, e in base)]
+    own = {kind: [(s, e) for k, s, e in base if k == kind] for kind in KINDS}
+
+    def covered(kind, start, end):  # base spans of a kind don't overlap
+        k = bisect_right(own[kind], (start, len(text))) - 1
+        return k >= 0 and end <= own[kind][k][1]
+
+    added = [x for x in hidden_spans(text) if not covered(*x)]
     return base, sorted([*base, *added], key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
