@@ -169,17 +169,26 @@ _BRACKETED = re.compile(r"(?i)[\[({<]\s*+(?:at|@|arroba|dot|\.|punto|punkt|point
 _AT = re.compile(r"(?i)(?<!\s)\s*+[\[({<]\s*+(?:at|@|arroba)\s*+[\])}>]\s*+")
 _DOT = re.compile(r"(?i)(?<!\s)\s*+[\[({<]\s*+(?:dot|\.|punto|punkt|point)\s*+[\])}>]\s*+")
 _DOTTED = re.compile(rf"(?i){_SAID}")
-_STEM = "[" + "".join(sorted({c for w in _WORDS for c in (w[0], w[0].upper())})) + "]"
-# a run of spelled digits has one that another element follows
-_SPELLED = re.compile(rf"(?={_STEM})(?i:(?<![^\W0-9_])|(?<=plus))(?i:{_ONE})(?i:{_SAID}|[ .,\-]{{0,2}})(?i:{_ONE}|[0-9])")
-_SAID_NUMBER = re.compile(rf"(?i)[0-9a-z]{_SAID}(?=[0-9]|{_ONE})")
+def _branches(words) -> str:
+    """A pattern for the words in which each prefix is read once."""
+    ends = sorted({w[0] for w in words if w})
+    rest = "|".join(c + _branches([w[1:] for w in words if w[:1] == c]) for c in ends)
+    return f"(?:{rest})" + "?" * ("" in words) if ends else ""
+
+
+# On lower-cased texts: a digit word that another element follows, as every run of them has one.
+_SPELLED = re.compile(rf"(?:(?<![^\W0-9_])|(?<=plus)){_branches([*_WORDS])}(?:{_SAID}|[ .,\-]{{0,2}})(?:{_branches([*_WORDS])}|[0-9])")
+_SAID_NUMBER = re.compile(rf"[0-9a-zäöüé]{_SAID}(?=[0-9]|{_ONE})")
+_SAID_WORDS = (" dot ", " punto ", " punkt ", " point ")
+#: All in _TABLE that lie beyond ASCII do so here.
+_ODD = re.compile("[\u00a0\u00ad\u00b7\u0250-\U0010ffff]")
 _CHUNK = re.compile(rf"(?i)(?<!\w)(?:(?:plus|\+) ?)?(?:{_ONE}|[0-9])++(?!\w)")
 _GAP = re.compile(rf"(?i){_SAID}|[ .,\-]{{1,2}}")
 _TOKEN = re.compile(rf"(?i)plus|\+|{_ONE}|[0-9]++|{_SAID}|[ .,\-]++")
 _ZERO = re.compile(r"(?:(?<=[0-9])|(?<=[0-9][ -]))[OolI]++(?=[ -]?[0-9])")
 _SIGN = re.compile(r"(?i) at | ?@ ?")
-_SPELT_DOT = re.compile(r"(?i) (?:dot|punto|punkt|point) (?=[a-z0-9_%+-])")
-_SIGN_HOST = re.compile(r"(?i) at [a-z0-9-]++\.[a-z0-9]| @ ?[a-z0-9-]++\.[a-z0-9]|@ [a-z0-9-]++\.[a-z0-9]")
+_LIKE_ZERO = re.compile(r"[0-9][ -]?[OolI]")
+_SIGN_HOST = re.compile(r" at [a-z0-9-]++\.[a-z0-9]| @ ?[a-z0-9-]++\.[a-z0-9]|@ [a-z0-9-]++\.[a-z0-9]")
 _LOOSE = re.compile(r"(?<=[A-Za-z0-9_%+-])(?: @ ?|@ )(?=[A-Za-z0-9-]++\.[A-Za-z]{2})")
 _LABEL = re.compile(r"[A-Za-z0-9-]++")
 _NEXT_LABEL = re.compile(rf"((?i:{_SAID})|\.)([A-Za-z0-9-]++)")
@@ -293,19 +302,22 @@ def addresses(text: str) -> list[tuple[str, int, int]]:
 
 def normalise(text: str) -> Tape | None:
     """The text after all transducers; None where none of them changes anything."""
-    plain = text if text.isascii() else text.translate(_TABLE)  # sign by sign, so that places stay
-    tape = Tape(plain)
-    if not plain.isascii():
+    odd = not text.isascii() and _ODD.search(text)
+    tape = Tape(text.translate(_TABLE) if odd else text)  # sign by sign, so that places stay
+    if odd:
         tape.replace(_UNSEEN, "")
     if "&" in tape.text or "%40" in tape.text:
         tape.replace(_ENTITY, "@")
     if _BRACKETED.search(tape.text):
         tape.replace(_AT, "@")
         tape.replace(_DOT, ".")
-    if _SPELLED.search(tape.text) or _SAID_NUMBER.search(tape.text):
+    low = tape.text.lower()
+    said = any(w in low for w in _SAID_WORDS)
+    if _SPELLED.search(low) or said and _SAID_NUMBER.search(low):
         tape.put([c for i, j in runs(tape.text) for c in _digits(tape.text, i, j)])
-    tape.put([("0" if c in "Oo" else "1", k, k + 1) for m in _ZERO.finditer(tape.text) for k, c in enumerate(m[0], m.start())])
-    if _SIGN_HOST.search(tape.text) or _SPELT_DOT.search(tape.text):
+    if _LIKE_ZERO.search(tape.text):
+        tape.put([("0" if c in "Oo" else "1", k, k + 1) for m in _ZERO.finditer(tape.text) for k, c in enumerate(m[0], m.start())])
+    if said or ("@" in low or " at " in low) and _SIGN_HOST.search(tape.text.lower()):
         tape.put(addresses(tape.text))
         tape.replace(_LOOSE, "@")
     return None if tape.text == text else tape
@@ -328,7 +340,7 @@ def hidden_spans(text: str) -> list[tuple[str, int, int]]:
     if tape is None:
         return []
     out = {(kind, *tape.source(s, e)) for kind, s, e in base_spans(tape.text)}
-    if _SPELLED.search(text):
+    if _SPELLED.search(text.lower()):
         taken = sorted((s, e) for _, s, e in out)
         reach = list(accumulate((e for _, e in taken), max))
         for s, e in spelled_phone(text):
