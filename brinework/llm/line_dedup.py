@@ -11,15 +11,24 @@ A line of n bytes with ``edits`` allowed is split into edits + 1 segments. Withi
 longer finds it by probing its segments' substring index: for each length and segment
 the few substrings of the longer line that can stand there when edits to the left and
 right of it add up. Index entries and probes meet by the hash of (length, segment,
-substring) in one shuffle. Within a meeting, a 64-bit parity of the lines' byte pairs
-drops those too many edits apart (an edit flips four bits at most); what is left is
-verified by banded bit-parallel edit distance.
+substring).
+
+Most substrings stand in one line only, so there are two rounds. The first deals all
+keys to buckets of a bounded number of keys, packed to about nine bytes each (the
+order within a bucket, and the high bits of the line's hash), and leaves only keys that
+two different lines share. A key that different lines share within one task is known
+to be shared: its lines skip the bucket, and two of them stand for all, so a bucket
+doesn't grow with a template however common. The second round brings those lines
+together by key; a key of more than ``BLOCK`` lines is dealt to pairs of blocks, each
+of which meets once. There a 64-bit parity of the lines' byte pairs drops those too
+many edits apart (an edit flips four bits at most); what is left is verified by
+banded bit-parallel edit distance.
 
 Lines without a letter or digit are left as they are. Null texts have no lines. A
-line's identity is a 63-bit hash. A line that repeats within its document counts once
-there and loses its later places. Rows with equal ids are one document, those with a
-null id as well. A text that loses all its words goes. Columns beyond those named pass
-through.
+line's identity is a 63-bit hash, of which the first round keeps 39 bits. A line that
+repeats within its document counts once there and loses its later places. Rows with
+equal ids are one document, those with a null id as well. A text that loses all its
+words goes. Columns beyond those named pass through.
 """
 
 from __future__ import annotations
@@ -38,6 +47,10 @@ from .shared import Kept, components, line_blocks, line_hashes, line_spans, map_
 BOUNDS = np.array([24, 24, *(96 << k for k in range(25))])
 #: Stands in for a null document id.
 NO_ID = -(2**63)
+#: Bits of a line's hash, the last of them a role, that go with a key; keys dealt to a bucket; keys that a task gathers before it deals them.
+ID_BITS, BUCKET, FLUSH = 40, 1 << 22, 1 << 20
+#: Lines of a key that one task compares; keys of more lines than that which go to the tasks whole (12 MB); lines that a task remembers.
+BLOCK, SENT_KEYS, SEEN = 8192, 500_000, 1 << 18
 _ONE = np.uint64(1)
 # letters and digits of ASCII, and whatever lies beyond it
 _WORDED = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -70,40 +83,40 @@ def allowed(length):
     return np.searchsorted(BOUNDS, length, "right")
 
 
-def join_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all lines, how many are each line's, and each line's parity of byte pairs.
-
-    A key's last bit is set for an index entry, the five before it hold the edits.
-    """
-    parity = np.zeros(len(starts), np.uint64)
-    keys, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+def parities(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each line's parity of byte pairs, by 64 classes of pairs."""
+    out = np.zeros(len(starts), np.uint64)
     for a, b in line_blocks(starts, ends):
         lo, hi = starts[a], ends[b - 1]
         part = data[lo:hi]
-        sums, s, n = prefix_sums(part), starts[a:b] - lo, ends[a:b] - starts[a:b]
-        most = allowed(n)
-        for edits in range(1, int(most.max()) + 1):
-            # of longer lines only those that a probe shortens into this class
-            some = np.flatnonzero((most >= edits) & (allowed(n - edits) <= edits))
-            for less in range(edits + 1) if len(some) else ():
-                own = some[allowed(n[some] - less) == edits]
-                if not len(own):
-                    continue
-                for k, (shorter, i, shift) in enumerate(probes(edits)):
-                    if shorter == less:
-                        at, size = segment(n[own] - less, i, edits)
-                        at = at + s[own] + shift
-                        key = mix(span_hash(sums, at, at + size) ^ mix(((n[own] - less) * 64 + i).astype(np.uint64)))
-                        keys.append(key & ~np.uint64(63) | np.uint64(2 * edits + (k <= edits)))
-                        owner.append(own + a)
         pair = (part[:-1].astype(np.uint64) * np.uint64(0x9E3779B1) + part[1:] * np.uint64(0x85EBCA6B)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(58)
         flip = np.append(_ONE << pair, np.uint64(0))
         flip[ends[a:b] - 1 - lo] = 0  # a pair over a line's end isn't the line's
         edge = np.empty(2 * (b - a), np.int64)
-        edge[0::2], edge[1::2] = s, ends[a:b] - lo
-        parity[a:b] = np.bitwise_xor.reduceat(np.append(flip, np.uint64(0)), edge)[0::2]
-    of = np.concatenate(owner)
-    return np.concatenate(keys)[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(starts)), parity
+        edge[0::2], edge[1::2] = starts[a:b] - lo, ends[a:b] - lo
+        out[a:b] = np.bitwise_xor.reduceat(np.append(flip, np.uint64(0)), edge)[0::2]
+    return out
+
+
+def join_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(edits, keys, ids) of the lines, in blocks; an id's last bit is set for an index entry."""
+    for a, b in line_blocks(starts, ends):
+        lo = starts[a]
+        sums, s, n = prefix_sums(data[lo:ends[b - 1]]), starts[a:b] - lo, ends[a:b] - starts[a:b]
+        most, tags = allowed(n), h[a:b] >> np.uint64(64 - ID_BITS) & ~_ONE
+        for edits in range(1, int(most.max()) + 1):
+            # of longer lines only those that a probe shortens into this class
+            own = np.flatnonzero((most >= edits) & (allowed(n - edits) <= edits))
+            less, i, shift = np.array(probes(edits)).T
+            # some hundred thousand keys at a time
+            for own in np.array_split(own, max(1, len(own) * len(less) >> 18)) if len(own) else ():
+                left = n[own, None] - less
+                line, probe = np.nonzero(allowed(left) == edits)
+                left, line = left[line, probe], own[line]
+                at, size = segment(left, i[probe], edits)
+                at += s[line] + shift[probe]
+                key = mix(span_hash(sums, at, at + size) ^ mix((left * 64 + i[probe]).astype(np.uint64)))
+                yield edits, key, tags[line] | (probe <= edits).astype(np.uint64)
 
 
 def within(a: bytes, b: bytes, edits: int) -> bool:
@@ -157,7 +170,7 @@ def worded_lines(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, times, h, parity, keys): one row for each different worded line of each row of docs."""
+    """(doc_id, line_no, times, h, parity, edits): one row for each different worded line of each row of docs."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, starts, ends, of, number = worded_lines(b.column("text"))
@@ -169,77 +182,222 @@ def line_table(docs: DataFrame) -> DataFrame:
             times = np.diff(np.append(first, len(order)))
             own = np.sort(order[first])
             times = times[np.argsort(order[first], kind="stable")]
-            keys, n_keys, parity = join_keys(data, starts[own], ends[own])
-            offsets = pa.array(np.append(0, np.cumsum(n_keys)).astype(np.int32))
             yield pa.record_batch([
-                b.column("doc_id").take(pa.array(of[own])), pa.array(number[own], pa.int64()), pa.array(times, pa.int64()), pa.array(signed(h[own])), pa.array(signed(parity)),
-                pa.ListArray.from_arrays(offsets, pa.array(signed(keys))),
-            ], ["doc_id", "line_no", "times", "h", "parity", "keys"])
+                b.column("doc_id").take(pa.array(of[own])), pa.array(number[own], pa.int64()), pa.array(times, pa.int64()), pa.array(signed(h[own])),
+                pa.array(signed(parities(data, starts[own], ends[own]))), pa.array(allowed(ends[own] - starts[own]), pa.int32()),
+            ], ["doc_id", "line_no", "times", "h", "parity", "edits"])
+
+    return map_batches(docs, work, "doc_id long, line_no long, times long, h long, parity long, edits int")
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and how long it is."""
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(key)))
+
+
+def _shared(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of entries sorted by key, those whose key different lines have."""
+    starts, sizes = _runs(key)
+    line = ids & ~_ONE
+    varied = np.minimum.reduceat(line, starts) != np.maximum.reduceat(line, starts) if len(key) else np.zeros(0, bool)
+    return np.repeat(varied, sizes)
+
+
+def _packed(values: np.ndarray, width: int) -> bytes:
+    """The values' bytes, all lowest first and all highest last: those of sorted values compress there."""
+    return values.view(np.uint8).reshape(-1, values.itemsize)[:, :width].T.tobytes()
+
+
+def _unpacked(packed: bytes, width: int) -> np.ndarray:
+    rows = np.frombuffer(packed, np.uint8).reshape(width, -1).T
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, :width] = rows
+    return out.view(np.uint64).ravel()
+
+
+def shared_keys(docs: DataFrame, buckets: dict[int, int]) -> DataFrame:
+    """(edits, key, id): index entries and probes of keys that different lines have. ``buckets`` by edits."""
+    low = np.uint64(0xFFFFFFFF)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list]] = {}
+        seen, size = np.zeros(0, np.uint64), 0
+        names = ["edits", "bucket", "deal", "keys", "ids"]
+
+        def flushed(edits, keys, ids):
+            n = buckets.get(edits, 1)
+            place = (keys >> np.uint64(32)) % np.uint64(n) << np.uint64(32) | keys & low
+            order = np.argsort(place, kind="stable")
+            place, ids = place[order], ids[order]
+            known = _shared(place, ids)
+            # those go anywhere: dealt by their first key
+            out = [(edits, -1, int(signed(place[known][:1])[0]), _packed(place[known], 8), _packed(ids[known], 5))] if known.any() else []
+            # two different lines stand for a key that is known to be shared
+            starts, sizes = _runs(place)
+            line = ids & ~_ONE
+            least, most = (np.repeat(f.reduceat(line, starts), sizes) for f in (np.minimum, np.maximum))
+            stay = np.ones(len(place), bool)
+            stay[1:] = (place[1:] != place[:-1]) | (line[1:] != line[:-1]) | (ids[1:] != ids[:-1])
+            stay &= ~known | (line == least) | (line == most)
+            place, ids = place[stay], ids[stay]
+            where = place >> np.uint64(32)
+            starts, sizes = _runs(where)
+            for a, k in zip(starts.tolist(), sizes.tolist()):
+                out.append((edits, int(where[a]), 0, _packed(place[a:a + k] & low, 4), _packed(ids[a:a + k], 5)))
+            return out
+
+        def flush():
+            rows = [r for e, (k, i) in held.items() for r in flushed(e, np.concatenate(k), np.concatenate(i))]
+            held.clear()
+            for a in range(0, len(rows), 256):
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[a:a + 256]), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names)
 
-    return map_batches(docs, work, "doc_id long, line_no long, times long, h long, parity long, keys array<long>")
+        for b in batches:
+            data, starts, ends, _, _ = worded_lines(b.column("text"))
+            h, at = np.unique(identity(data, starts, ends), return_index=True)
+            new = ~np.isin(h, seen, assume_unique=True)
+            h, at = h[new], np.sort(at[new])
+            # a line that this task had lately needs no second entry
+            seen = np.concatenate([seen[-SEEN:], h])
+            own = identity(data, starts[at], ends[at])
+            for edits, keys, ids in join_keys(data, starts[at], ends[at], own):
+                k, i = held.setdefault(edits, ([], []))
+                k.append(keys)
+                i.append(ids)
+                size += len(keys)
+                if size >= FLUSH:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        over, keys, ids = None, [], []
+
+        def rows(edits, place, ids):
+            for a in range(0, len(place), 1 << 18):
+                part = place[a:a + (1 << 18)]
+                yield pa.record_batch([pa.array(np.full(len(part), edits, np.int32)), pa.array(signed(part)), pa.array(signed(ids[a:a + (1 << 18)]))], ["edits", "key", "id"])
+
+        def bucket():
+            place = np.concatenate(keys) << np.uint64(32) | np.arange(sum(map(len, keys)), dtype=np.uint64)
+            place.sort()
+            own = np.concatenate(ids)[(place & low).astype(np.int64)]
+            place >>= np.uint64(32)
+            both = _shared(place, own)
+            yield from rows(over[0], place[both] | np.uint64(over[1]) << np.uint64(32), own[both])
 
+        for b in batches:
+            for edits, where, k, i in zip(*[b.column(c).to_pylist() for c in ("edits", "bucket", "keys", "ids")]):
+                if where < 0:
+                    yield from rows(edits, _unpacked(k, 8), _unpacked(i, 5))
+                    continue
+                if over != (edits, where):
+                    if keys:
+                        yield from bucket()
+                    over, keys, ids = (edits, where), [], []
+                keys.append(_unpacked(k, 4))
+                ids.append(_unpacked(i, 5))
+        if keys:
+            yield from bucket()
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """(a, b): different lines that share a segment and may be within the edits allowed."""
-    rows = lines.select(F.explode("keys").alias("key"), "h", "parity").select(F.col("key").bitwiseAND(F.lit(-2)).alias("key"), F.col("h").bitwiseOR(F.col("key").bitwiseAND(F.lit(1))).alias("id"), "parity")
-    met = rows.repartition("key").sortWithinPartitions("key")
+    dealt = map_batches(docs.select("text"), deal, "edits int, bucket long, deal long, keys binary, ids binary")
+    met = dealt.repartition("edits", "bucket", "deal").sortWithinPartitions("edits", "bucket")
+    return map_batches(met, merge, "edits int, key long, id long")
 
-    def pairs(ids, parity, edits):
-        # equal lines are one; an index entry is a probe too
-        ids, at = np.unique(ids, return_index=True)
-        parity, line, entry = parity[at].view(np.uint64), ids & ~1, (ids & 1) > 0
-        a, b = [], []
-        for i in np.flatnonzero(entry).tolist():
-            near = (np.bitwise_count(parity ^ parity[i]) <= 4 * edits) & (line != line[i])
-            a.append(np.minimum(line[near], line[i]))
-            b.append(np.maximum(line[near], line[i]))
-        return (np.concatenate(a), np.concatenate(b)) if a else (line[:0], line[:0])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def done(key, ids, parity):
-            edge = np.flatnonzero(key[1:] != key[:-1]) + 1
-            starts, stops = np.append(0, edge), np.append(edge, len(key))
-            # a run matters where it has two different lines
-            many = np.flatnonzero(stops - starts > 1)
-            varied = [k for k in many.tolist() if ((ids[starts[k]:stops[k]] ^ ids[starts[k]]) & ~1).any()]
-            got = [pairs(ids[starts[k]:stops[k]], parity[starts[k]:stops[k]], int(key[starts[k]] >> 1) & 31) for k in varied]
-            empty = np.zeros(0, np.int64)
-            both = np.unique(np.stack([np.concatenate([empty, *[x[0] for x in got]]), np.concatenate([empty, *[x[1] for x in got]])]), axis=1)
-            return pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+def candidates(kept: Kept, docs: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b): different lines that share a segment and may be within the edits allowed.
+
+    ``own`` has one row (h, parity, edits) for each different line.
+    """
+    sizes = own.filter("edits > 0").groupBy("edits").agg(F.count(F.lit(1)).alias("n")).collect()  # some twenty rows
+    buckets = {r["edits"]: -(-r["n"] * len(probes(r["edits"])) // BUCKET) for r in sizes}
+    found = kept.put(shared_keys(docs, buckets).distinct())
+    tag = F.shiftrightunsigned("id", 1).alias("tag")
+    lines = own.select("h", "parity", F.shiftrightunsigned("h", 65 - ID_BITS).alias("tag")).join(found.select(tag).distinct(), "tag", "left_semi")
+    entries = found.select("edits", "key", tag, F.col("id").bitwiseAND(F.lit(1)).alias("entry")).join(lines, "tag")
+    entries = kept.put(entries.select("edits", "key", F.col("h").bitwiseOR(F.col("entry")).alias("id"), "parity"))
+    # keys of many lines: each pair of their blocks meets once
+    many = entries.groupBy("edits", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("edits", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    many = kept.put(many)
+    some = F.broadcast(many) if many.count() <= SENT_KEYS else many
+    block = F.pmod(F.xxhash64("id"), "parts").cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cut = entries.join(some, ["edits", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", block).withColumn("other", other)
+    cut = cut.select("edits", "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "parity")
+    met = cut.repartition("edits", "key", "x", "y").sortWithinPartitions("edits", "key", "x", "y")
+    names = ["edits", "key", "x", "y", "block", "id", "parity"]
+
+    def likely(cols, i, j):
+        """Whether entries i and j (arrays of places that share a key) make a pair."""
+        edits, _, x, y, block, ids, parity = cols
+        line = ids & ~1
+        good = ((ids[i] | ids[j]) & 1 > 0) & (line[i] != line[j]) & ((x[i] == y[i]) | (block[i] != block[j]))
+        return good & (np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)) <= 4 * edits[i])
+
+    def pairs(cols):
+        mark = np.ones(len(cols[0]), bool)
+        mark[1:] = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
+        starts = np.flatnonzero(mark)
+        sizes = np.diff(np.append(starts, len(mark)))
+        run = np.repeat(np.arange(len(starts)), sizes)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def take(i, j):
+            good = likely(cols, i, j)
+            x, y = cols[5][i[good]] & ~1, cols[5][j[good]] & ~1
+            a.append(np.minimum(x, y))
+            b.append(np.maximum(x, y))
+
+        short = np.flatnonzero((sizes <= 64)[run])
+        for d in range(1, 64):  # entries d places apart
+            short = short[short + d < len(run)]
+            short = short[run[short] == run[short + d]]
+            if not len(short):
+                break
+            take(short, short + d)
+        for k in np.flatnonzero(sizes > 64).tolist():
+            rest = np.arange(starts[k], starts[k] + sizes[k])
+            for i in rest[:-1]:
+                j = np.arange(i + 1, rest[-1] + 1)
+                take(np.full(len(j), i), j)
+        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+        return pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for rb in batches:
-            cols = [rb.column(c).to_numpy() for c in ("key", "id", "parity")]
+            cols = [rb.column(c).to_numpy() for c in names]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             if not len(cols[0]):
                 continue
-            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            last = np.flatnonzero(np.any([c != c[-1] for c in cols[:4]], axis=0))
+            last = int(last[-1]) + 1 if len(last) else 0
             if last:
-                yield done(*[c[:last] for c in cols])
-            rest = [c[last:] for c in cols]
-            # of an unfinished run, equal entries are kept once
-            _, at = np.unique(rest[1], return_index=True)
-            held = [c[at] for c in rest]
+                yield pairs([c[:last] for c in cols])
+            held = [c[last:] for c in cols]
         if held is not None and len(held[0]):
-            yield done(*held)
+            yield pairs(held)
 
-    return met.mapInArrow(work, "a long, b long")
+    return map_batches(met, work, "a long, b long")
 
 
-def links(kept: Kept, docs: DataFrame, lines: DataFrame) -> DataFrame:
+def links(kept: Kept, docs: DataFrame, own: DataFrame) -> DataFrame:
     """(a, b): different lines within the edits allowed."""
-    likely = kept.put(candidates(lines).distinct())
+    likely = kept.put(candidates(kept, docs, own).distinct())
     wanted = sieve(likely.select(F.explode(F.array(F.shiftright("a", 1), F.shiftright("b", 1))).alias("i")), "i")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
         for b in batches:
             data, starts, ends, _, _ = worded_lines(b.column("text"))
             h = signed(identity(data, starts, ends))
-            at = np.flatnonzero(sieved(wanted, h >> 1))
+            at = np.flatnonzero(sieved(wanted, h >> 1) & ~np.isin(h, seen))
             _, once = np.unique(h[at], return_index=True)
             at = at[once]
+            seen = np.concatenate([seen[-SEEN:], h[at]])
             yield pa.record_batch([pa.array(h[at]), pa.array([data[s:e].tobytes() for s, e in zip(starts[at].tolist(), ends[at].tolist())], pa.binary())], ["h", "line"])
 
     ids = likely.select(F.explode(F.array("a", "b")).alias("h")).distinct()
@@ -266,12 +424,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = Kept(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     lines = kept.put(line_table(docs))
-    near = links(kept, docs, lines)
+    first = F.min(F.struct("doc_id", "line_no"))
+    own = kept.put(lines.groupBy("h").agg(first.alias("first"), F.sum("times").alias("n"), F.min("parity").alias("parity"), F.min("edits").alias("edits"))
+                   .select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), "n", "parity", "edits"))
+    near = links(kept, docs, own)
     degree = near.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
     root = components(kept, near)
-    own = lines.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.min_by("line_no", "doc_id").alias("first_line"), F.sum("times").alias("n"))
-    own = own.join(root.toDF("h", "root"), "h", "left").withColumn("class_id", F.coalesce("root", "h")).filter("root is not null or n > 1").drop("root")
-    own = kept.put(own.join(degree, "h", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")))
+    own = own.join(root.toDF("h", "root"), "h", "left").withColumn("class_id", F.coalesce("root", "h")).filter("root is not null or n > 1")
+    own = kept.put(own.select("h", "first_doc", "first_line", "n", "class_id").join(degree, "h", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")))
     classes = own.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.min(F.struct("first_doc", "first_line")).alias("first")).filter("class_size > 1")
     members = own.select("h", "class_id", "n_links").join(classes, "class_id")
     out = lines.select("doc_id", "line_no", "times", "h").join(members, "h")

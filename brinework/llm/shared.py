@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BATCH_ROWS = 1024
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 BLOCK_BYTES = 1 << 18
 
 
@@ -76,11 +76,16 @@ def _quietly(f: Callable, *args) -> None:
 # --- batches -------------------------------------------------------------
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow over batches of at most BATCH_ROWS rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """mapInArrow over batches of at most BATCH_ROWS rows and about BATCH_BYTES.
+
+    Spark reads these two settings when the plan runs, so they stay set in the session;
+    a session that asks for smaller batches keeps its own.
+    """
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(conf.get(key).rstrip("b")) <= most:
+            conf.set(key, str(most))
     return df.mapInArrow(f, schema)
 
 
@@ -295,13 +300,47 @@ def sieved(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 # --- components ----------------------------------------------------------
 
+#: Links that one task joins by itself (8 MB).
+FEW_LINKS = 500_000
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every id of the links and the least one reachable."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    up = np.arange(len(ids))
+    while True:
+        s, t = up[x], up[y]
+        apart = s != t
+        if not apart.any():
+            return ids, ids[up]
+        np.minimum.at(up, np.maximum(s, t)[apart], np.minimum(s, t)[apart])
+        while (up[up] != up).any():
+            up = up[up]
+
+
 def components(kept: Kept, links: DataFrame) -> DataFrame:
     """(id, root) for every id of ``links`` (a, b), with root the least id reachable.
 
-    Alternates the large-star and small-star steps until no link changes. Each
-    step is one shuffle of the links with partial minima; every step is written
-    to the shared folder, and nothing but a count and a sum comes to the driver.
+    FEW_LINKS or fewer are joined in one task. More of them go through large-star and
+    small-star steps until no link changes. Each step is one shuffle of the links with
+    partial minima; every step is written to the shared folder, and nothing but a count
+    and a sum comes to the driver.
     """
+    links = kept.put(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if links.count() > FEW_LINKS:
+        return starred(kept, links)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+        if got:
+            yield pa.record_batch([pa.array(x) for x in roots(*map(np.concatenate, zip(*got)))], ["id", "root"])
+
+    return kept.put(map_batches(links.coalesce(1), work, "id long, root long"))
+
+
+def starred(kept: Kept, e: DataFrame) -> DataFrame:
+    """``components`` of distinct links (a > b), by star steps."""
     def both(e):
         return e.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(e.select(F.col("b").alias("v"), F.col("a").alias("w")))
 
@@ -316,9 +355,6 @@ def components(kept: Kept, links: DataFrame) -> DataFrame:
         return j.filter("w <> m").select(F.col("w").alias("a"), F.col("m").alias("b")).unionByName(
             least.filter("k <> m").select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
 
-    spark = kept.spark
-    e = kept.put(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-
     def mark(x):
         return x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 

@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brinework.llm import line_dedup, near_dups
+from brinework.llm import line_dedup, near_dups, shared
 
 from .cases import components, distance, edge, near_components, none, shingles, small
 
@@ -165,6 +165,66 @@ def test_banded_distance_with_other_bounds(a, ops, edits):
     assert line_dedup.within(a, bytes(b), edits) == (distance(a, bytes(b)) <= edits)
 
 
+def test_all_lines_equal_brute_force(spark):
+    """Lines of every length, equal and edited as far as their length allows and one further."""
+    rng = random.Random(23)
+    pool = ["".join(rng.choice("abcdefgh ") for _ in range(n)).strip() + "." for n in (1, 3, 9, 20, 23, 25, 60, 94, 96, 99, 190, 193, 200)]
+    docs = []
+    for i in range(70):
+        lines = []
+        for x in rng.choices(pool, k=4):
+            s = list(x)
+            for _ in range(rng.randrange(0, int(line_dedup.allowed(len(x))) + 2)):
+                at, how = rng.randrange(len(s)), rng.randrange(3)
+                s[at:at + 1] = [[rng.choice("xyz")], [s[at], "q"], []][how]
+            lines.append("".join(s))
+        docs.append((i, "\n".join(lines)))
+    lines = sorted({x for _, t in docs for x in t.split("\n") if any(c.isalnum() for c in x)})
+
+    def near(a, b):
+        return abs(len(a) - len(b)) <= 9 and distance(a.encode(), b.encode()) <= line_dedup.allowed(min(len(a), len(b)))
+
+    links = [(a, b) for k, a in enumerate(lines) for b in lines[k + 1:] if near(a, b)]
+    root = components(lines, links)
+    size, first, want = {}, {}, {}
+    places = [(i, n, x) for i, t in docs for n, x in enumerate(t.split("\n")) if x in root]
+    for i, n, x in places:
+        size[root[x]] = size.get(root[x], 0) + 1
+        first[root[x]] = min((i, n), first.get(root[x], (1 << 40, 0)))
+    for i, n, x in places:
+        if size[root[x]] > 1 and not any(j == i and m < n and y == x for j, m, y in places):
+            want[i, n] = (size[root[x]], sum(x in e for e in links), first[root[x]] == (i, n))
+    assert len(links) > 200 and len(want) > 150
+    got = line_dedup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line_no): (r.class_size, r.n_links, r.kept) for r in got} == want
+
+
+def test_a_template_of_many_lines_is_dealt(spark, monkeypatch):
+    """Lines that share a segment and nothing else: shared keys leave their buckets, blocks meet in pairs."""
+    rng = random.Random(3)
+    lines = ["Posted by the team on this very page: " + "".join(rng.choice("abcdefghijklmnop") for _ in range(30)) for _ in range(3000)]
+    lines += [x[:-1] + "z" for x in lines[:40]]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(line_dedup, "BLOCK", 256)
+    monkeypatch.setattr(line_dedup, "FLUSH", 5000)
+    got = line_dedup.repeated_lines(docs).collect()
+    assert {r.doc_id for r in got} == {*range(40), *range(3000, 3040)} and all(r.class_size == 2 and r.n_links == 1 for r in got)
+    own = line_dedup.line_table(docs).select("h", "parity", "edits")
+    dealt = line_dedup.shared_keys(docs, {2: 4})
+    assert dealt.select("key").distinct().count() > 1 and own.count() == 3040
+
+
+def test_star_steps_equal_one_task(spark, monkeypatch):
+    rng = random.Random(9)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = components({x for e in links for x in e if e[0] != e[1]}, [e for e in links if e[0] != e[1]])
+    for few in (500_000, 0):
+        monkeypatch.setattr(shared, "FEW_LINKS", few)
+        got = {r.id: r.root for r in shared.components(shared.Kept(spark), df).collect()}
+        assert got == want
+
+
 def test_lines_of_edge_rows(spark):
     out = line_dedup.drop_repeated(edge(spark))
     assert out.columns == edge(spark).columns
