@@ -20,9 +20,12 @@ two different lines share. A key that different lines share within one task is k
 to be shared: its lines skip the bucket, and two of them stand for all, so a bucket
 doesn't grow with a template however common. The second round brings those lines
 together by key; a key of more than ``BLOCK`` lines is dealt to pairs of blocks, each
-of which meets once. There a 64-bit parity of the lines' byte pairs drops those too
-many edits apart (an edit flips four bits at most); what is left is verified by
-banded bit-parallel edit distance.
+of which meets once. There a 64-bit parity of the lines' byte pairs drops pairs too
+many edits apart (an edit flips four bits at most). Of the likely pairs that are left
+only a forest is written: its components hold every pair that may be linked. Each
+component's lines, dealt to pairs of blocks where they are many, then meet once with
+their texts; likely pairs are verified by banded bit-parallel edit distance, and each
+line's links are counted on the spot, so that no list of pairs is ever written.
 
 Lines without a letter or digit are left as they are. Null texts have no lines. A
 line's identity is a 63-bit hash, of which the first round keeps 39 bits. A line that
@@ -41,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Kept, components, line_blocks, line_hashes, line_spans, map_batches, mix, prefix_sums, row_and, sieve, sieved, signed, span_hash, utf8
+from .shared import Kept, components, line_blocks, line_hashes, line_spans, map_batches, mix, prefix_sums, roots, row_and, sieve, sieved, signed, span_hash, utf8
 
 #: A line's edits are as many as there are bounds up to its length.
 BOUNDS = np.array([24, 24, *(96 << k for k in range(25))])
@@ -51,6 +54,8 @@ NO_ID = -(2**63)
 ID_BITS, BUCKET, FLUSH = 40, 1 << 22, 1 << 20
 #: Lines of a key that one task compares; keys of more lines than that which go to the tasks whole (12 MB); lines that a task remembers.
 BLOCK, SENT_KEYS, SEEN = 8192, 500_000, 1 << 18
+#: Lines and bytes of a group that one task holds from a block.
+TEXTS, TEXT_BYTES = 2048, 8 << 20
 _ONE = np.uint64(1)
 # letters and digits of ASCII, and whatever lies beyond it
 _WORDED = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -119,16 +124,28 @@ def join_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndar
                 yield edits, key, tags[line] | (probe <= edits).astype(np.uint64)
 
 
+def common(a: bytes, b: bytes) -> int:
+    """How many bytes a and b begin with alike."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
 def within(a: bytes, b: bytes, edits: int) -> bool:
     """Whether the edit distance is at most ``edits``: Hyyro's bit-vectors over a diagonal band."""
     if len(a) < len(b):
         a, b = b, a
     if len(a) - len(b) > edits:
         return False
-    while b and a[0] == b[0] and a[:64] == b[:64]:
-        a, b = a[64:], b[64:]
-    while b and a[-64:] == b[-64:] and len(a) > 64 and len(b) > 64:
-        a, b = a[:-64], b[:-64]
+    same = common(a, b)
+    a, b = a[same:], b[same:]
+    same = common(a[::-1], b[::-1])
+    a, b = a[:len(a) - same], b[:len(b) - same]
     m, n = len(a), len(b)
     if m <= edits:
         return True
@@ -307,7 +324,7 @@ def shared_keys(docs: DataFrame, buckets: dict[int, int]) -> DataFrame:
 
 
 def candidates(kept: Kept, docs: DataFrame, own: DataFrame) -> DataFrame:
-    """(a, b): different lines that share a segment and may be within the edits allowed.
+    """(a, b): a forest over different lines that share a segment and may be within the edits allowed.
 
     ``own`` has one row (h, parity, edits) for each different line.
     """
@@ -336,7 +353,7 @@ def candidates(kept: Kept, docs: DataFrame, own: DataFrame) -> DataFrame:
         good = ((ids[i] | ids[j]) & 1 > 0) & (line[i] != line[j]) & ((x[i] == y[i]) | (block[i] != block[j]))
         return good & (np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)) <= 4 * edits[i])
 
-    def pairs(cols):
+    def forest(cols):
         mark = np.ones(len(cols[0]), bool)
         mark[1:] = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
         starts = np.flatnonzero(mark)
@@ -346,9 +363,9 @@ def candidates(kept: Kept, docs: DataFrame, own: DataFrame) -> DataFrame:
 
         def take(i, j):
             good = likely(cols, i, j)
-            x, y = cols[5][i[good]] & ~1, cols[5][j[good]] & ~1
-            a.append(np.minimum(x, y))
-            b.append(np.maximum(x, y))
+            a.append(cols[5][i[good]] & ~1)
+            b.append(cols[5][j[good]] & ~1)
+            return j[good]
 
         short = np.flatnonzero((sizes <= 64)[run])
         for d in range(1, 64):  # entries d places apart
@@ -358,12 +375,16 @@ def candidates(kept: Kept, docs: DataFrame, own: DataFrame) -> DataFrame:
                 break
             take(short, short + d)
         for k in np.flatnonzero(sizes > 64).tolist():
-            rest = np.arange(starts[k], starts[k] + sizes[k])
-            for i in rest[:-1]:
-                j = np.arange(i + 1, rest[-1] + 1)
-                take(np.full(len(j), i), j)
-        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-        return pa.record_batch([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            rest, found = np.arange(starts[k], starts[k] + sizes[k]), []
+            while len(rest):  # from each entry to those that no other has reached
+                if not found:
+                    found, rest = [rest[0]], rest[1:]
+                i = found.pop()
+                near = take(np.full(len(rest), i), rest)
+                found += near.tolist()
+                rest = rest[~np.isin(rest, near, assume_unique=True)]
+        ids, top = roots(np.concatenate(a), np.concatenate(b))
+        return pa.record_batch([pa.array(ids[ids != top]), pa.array(top[ids != top])], ["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -376,18 +397,18 @@ def candidates(kept: Kept, docs: DataFrame, own: DataFrame) -> DataFrame:
             last = np.flatnonzero(np.any([c != c[-1] for c in cols[:4]], axis=0))
             last = int(last[-1]) + 1 if len(last) else 0
             if last:
-                yield pairs([c[:last] for c in cols])
+                yield forest([c[:last] for c in cols])
             held = [c[last:] for c in cols]
         if held is not None and len(held[0]):
-            yield pairs(held)
+            yield forest(held)
 
     return map_batches(met, work, "a long, b long")
 
 
 def links(kept: Kept, docs: DataFrame, own: DataFrame) -> DataFrame:
-    """(a, b): different lines within the edits allowed."""
-    likely = kept.put(candidates(kept, docs, own).distinct())
-    wanted = sieve(likely.select(F.explode(F.array(F.shiftright("a", 1), F.shiftright("b", 1))).alias("i")), "i")
+    """(h, n_links, root): lines with links, a row for each meeting; root is a line reached from h there."""
+    groups = components(kept, candidates(kept, docs, own).distinct())
+    wanted = sieve(groups.select(F.shiftright("id", 1).alias("i")), "i")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
@@ -400,17 +421,56 @@ def links(kept: Kept, docs: DataFrame, own: DataFrame) -> DataFrame:
             seen = np.concatenate([seen[-SEEN:], h[at]])
             yield pa.record_batch([pa.array(h[at]), pa.array([data[s:e].tobytes() for s, e in zip(starts[at].tolist(), ends[at].tolist())], pa.binary())], ["h", "line"])
 
-    ids = likely.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    found = map_batches(docs.select("text"), texts, "h long, line binary").join(ids, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    found = map_batches(docs.select("text"), texts, "h long, line binary").join(groups.toDF("h", "group"), "h").groupBy("h", "group").agg(F.first("line").alias("line"))
     found = kept.put(found)
-    both = likely.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    # blocks of bounded lines and bytes; each pair of a group's blocks meets once
+    size = found.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TEXTS), F.ceil(F.sum(F.octet_length("line")) / TEXT_BYTES)).cast("int").alias("parts")).filter("parts > 1")
+    size = kept.put(size)
+    some = F.broadcast(size) if size.count() <= SENT_KEYS else size
+    cut = found.join(some, "group", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("h"), "parts").cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "h", "line")
+    met = cut.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y")
+
+    def meet(h, line, block, across):
+        """(h, links, root) of the lines of one meeting that have links."""
+        sizes = np.array([len(x) for x in line])
+        ends = np.cumsum(sizes)
+        parity = parities(np.frombuffer(b"".join(line), np.uint8), ends - sizes, ends)
+        a, b = [], []
+        for i in range(len(line) - 1):
+            j = np.arange(i + 1, len(line))
+            most = allowed(np.minimum(sizes[i], sizes[j]))
+            good = (np.abs(sizes[j] - sizes[i]) <= most) & (np.bitwise_count(parity[j] ^ parity[i]) <= 4 * most)
+            if across:
+                good &= block[j] != block[i]
+            for k, edits in zip(j[good].tolist(), most[good].tolist()):
+                if within(line[i], line[k], edits):
+                    a.append(h[i])
+                    b.append(h[k])
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ids, n = np.unique(np.concatenate([a, b]), return_counts=True)
+        return ids, n, roots(a, b)[1]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        over, rows = None, []
+
+        def done():
+            h, line, block = zip(*rows)
+            ids, n, top = meet(np.array(h, np.int64), line, np.array(block), over[1] != over[2])
+            return pa.record_batch([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(top)], ["h", "n_links", "root"])
+
         for b in batches:
-            good = [within(x, y, int(allowed(min(len(x), len(y))))) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
-            yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for group, x, y, *row in zip(*[b.column(c).to_pylist() for c in ("group", "x", "y", "h", "line", "block")]):
+                if over != (group, x, y):
+                    if len(rows) > 1:
+                        yield done()
+                    over, rows = (group, x, y), []
+                rows.append(row)
+        if len(rows) > 1:
+            yield done()
 
-    return kept.put(map_batches(both, verify, "a long, b long"))
+    return kept.put(map_batches(met, verify, "h long, n_links long, root long"))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -428,8 +488,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = kept.put(lines.groupBy("h").agg(first.alias("first"), F.sum("times").alias("n"), F.min("parity").alias("parity"), F.min("edits").alias("edits"))
                    .select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), "n", "parity", "edits"))
     near = links(kept, docs, own)
-    degree = near.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
-    root = components(kept, near)
+    degree = near.groupBy("h").agg(F.sum("n_links").alias("n_links"))
+    root = components(kept, near.select(F.col("h").alias("a"), F.col("root").alias("b")))
     own = own.join(root.toDF("h", "root"), "h", "left").withColumn("class_id", F.coalesce("root", "h")).filter("root is not null or n > 1")
     own = kept.put(own.select("h", "first_doc", "first_line", "n", "class_id").join(degree, "h", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")))
     classes = own.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.min(F.struct("first_doc", "first_line")).alias("first")).filter("class_size > 1")

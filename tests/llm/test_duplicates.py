@@ -206,6 +206,7 @@ def test_a_template_of_many_lines_is_dealt(spark, monkeypatch):
     lines += [x[:-1] + "z" for x in lines[:40]]
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
     monkeypatch.setattr(line_dedup, "BLOCK", 256)
+    monkeypatch.setattr(line_dedup, "TEXTS", 16)
     monkeypatch.setattr(line_dedup, "FLUSH", 5000)
     got = line_dedup.repeated_lines(docs).collect()
     assert {r.doc_id for r in got} == {*range(40), *range(3000, 3040)} and all(r.class_size == 2 and r.n_links == 1 for r in got)
@@ -214,6 +215,18 @@ def test_a_template_of_many_lines_is_dealt(spark, monkeypatch):
     assert dealt.select("key").distinct().count() > 1 and own.count() == 3040
 
 
+def test_a_large_class_is_counted_in_blocks(spark, monkeypatch):
+    rng = random.Random(31)
+    base = "every line here is one of a large family of lines"
+    lines = sorted({base[:k] + rng.choice("xyz") + base[k + 1:] for k in range(len(base)) for _ in range(4)})
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    want = {i: sum(distance(x.encode(), y.encode()) <= 2 for y in lines) - 1 for i, x in enumerate(lines)}
+    monkeypatch.setattr(line_dedup, "TEXTS", 30)
+    monkeypatch.setattr(line_dedup, "BLOCK", 40)
+    got = line_dedup.repeated_lines(docs).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and {r.class_size for r in got} == {len(lines)}
+
+
 def test_star_steps_equal_one_task(spark, monkeypatch):
     rng = random.Random(9)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
