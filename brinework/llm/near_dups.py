@@ -41,6 +41,8 @@ LONG, LIKELY_LONG = 512, 345
 FOREST = 4096
 #: Ids that go to the tasks whole (4 MB); more are met by shuffle.
 SENT_IDS = 500_000
+#: Rows of a node that one task may get; larger nodes that go to the tasks whole (10 MB).
+HEAVY, SENT_NODES = 128, 250_000
 _A, _B = seeds(LONG, 101), seeds(LONG, 102)
 
 
@@ -112,6 +114,20 @@ def only(df: DataFrame, column: str, ids: DataFrame, how: str = "left_semi") ->
     return df.join(F.broadcast(ids) if small else ids, F.col(column) == F.col("__id"), how)
 
 
+def by_node(kept: Kept, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their node, for those whose node is among ``nodes`` (node, n, ...).
+
+    Nodes of more than HEAVY rows are sent to the tasks, the largest SENT_NODES of them:
+    only rows of other nodes are dealt by node, so that no task gets a large one whole.
+    """
+    heavy = kept.put(nodes.filter(F.col("n") > HEAVY).orderBy(F.desc("n"), "node").limit(SENT_NODES))
+    if heavy.isEmpty():
+        return rows.join(nodes, "node")
+    hot = rows.join(F.broadcast(heavy), "node")
+    rest = rows.join(F.broadcast(heavy.select("node")), "node", "left_anti").join(nodes, "node")
+    return hot.unionByName(rest.select(*hot.columns))
+
+
 def confirm(kept: Kept, docs: DataFrame, pairs: DataFrame, accept: Callable[[int, int], bool] = linked) -> DataFrame:
     """The pairs (a, b) whose full sets are close enough.
 
@@ -122,9 +138,11 @@ def confirm(kept: Kept, docs: DataFrame, pairs: DataFrame, accept: Callable[[int
     pairs = pairs.filter("a <> b").distinct()
     ids = kept.put(pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct())
     texts = only(docs, "doc_id", ids)
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    parts = kept.put(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts")))
     hubs = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(texts, F.col("a") == F.col("doc_id")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
-    members = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", "part").join(texts, F.col("b") == F.col("doc_id")).select("a", "part", "b", "text")
+    many = parts.filter("parts > 1")  # others need no join to know that they are one part
+    members = pairs.join(F.broadcast(many) if many.count() <= SENT_IDS else many, "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    members = members.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).select("a", "b", "part").join(texts, F.col("b") == F.col("doc_id")).select("a", "part", "b", "text")
     met = hubs.unionByName(members).repartition(F.col("a"), F.col("part")).sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     child = F.explode(F.array(*[F.struct(F.xxhash64(F.lit(k), F.col("root")[k]).alias("node"), F.lit(k).alias("k")) for k in range(2 * TREES)]))
     rows = kept.put(sigs.select(child.alias("c"), "id").select("c.node", "c.k", "id"))
     sizes = kept.put(rows.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    live = kept.put(rows.join(sizes, "node").select("node", "k", "id", "least", "n"))
+    live = kept.put(by_node(kept, rows, sizes).select("node", "k", "id", "least", "n"))
     kept.drop(rows, sizes)
     dense = confirm(kept, docs, live.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")))
 
@@ -258,8 +276,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Rows of nodes with more than one component, with the node's size."""
         r = kept.put(r)
         n = r.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("comp", "c").alias("major"), F.count(F.lit(1)).alias("comps"))
-        n = n.filter("comps > 1").drop("comps")
-        out = kept.put(r.join(n, "node"))
+        n = kept.put(n.filter("comps > 1").drop("comps"))
+        out = kept.put(by_node(kept, r, n))
         kept.drop(r)
         return out
 
