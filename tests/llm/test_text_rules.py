@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter
 
@@ -5,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from brinework.llm import decontamination, langid, pseudo_likelihood, quality, queries
+from brinework.llm.shared import Kept, Words, utf8
 
 from .cases import SMALL, SPACE, edge, nearest_stretch, none, small
 
@@ -93,36 +95,117 @@ def test_leaks_of_edge_rows(spark):
     assert decontamination.clean(edge(spark), items.limit(0)).count() == 10
 
 
-def test_pseudo_likelihood_learns(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) between 300 and 5000")
-    weights = pseudo_likelihood.train(docs)
-    first = pseudo_likelihood.first_weights()
+def mean_score(docs, model):
+    return pseudo_likelihood.score(docs, model).selectExpr("sum(log_likelihood) / sum(n_tokens) as m").first().m
 
-    def mean(w):
-        r = pseudo_likelihood.score(docs, w).selectExpr("sum(log_likelihood) / sum(n_tokens) as m").first()
-        return r.m
 
-    assert mean(weights) > mean(first) + 0.3
+def test_pseudo_likelihood_learns(spark):
+    p = pseudo_likelihood
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) between 300 and 5000")
+    model = p.train(docs)
+    unigrams = p.Model(model.vocabulary, model.vocabulary.first_weights())
+    assert mean_score(docs, model) > mean_score(docs, unigrams) + 0.1
     turned = docs.selectExpr("doc_id", "array_join(shuffle(split(text, ' '), 5), ' ') as text")
-    plain = {r.doc_id: r.mean_log_likelihood for r in pseudo_likelihood.score(docs, weights).collect()}
-    mixed = pseudo_likelihood.score(turned, weights).collect()
+    plain = {r.doc_id: r.mean_log_likelihood for r in p.score(docs, model).collect()}
+    mixed = p.score(turned, model).collect()
     assert sum(plain[r.doc_id] >= r.mean_log_likelihood for r in mixed) > 0.6 * len(mixed)
 
 
+def plain_score(model, counts, text):
+    """The sum of log P(word | sides), word by word in plain Python."""
+    known, h, d = model.vocabulary, pseudo_likelihood.HIDDEN, model.vocabulary.base
+    net = pseudo_likelihood.Net(known, model.weights, model.weights)
+    w = {k: getattr(net, k).tolist() for k in known.shapes()}
+    prior = [x.tolist() for x in known.prior]
+    words = Words(*utf8(pa.array([text])), lower=True).hash.tolist()
+    rank = dict(zip(known.hashes.tolist(), known.rank.tolist()))
+    rare = {}
+    for x in counts:
+        if x not in rank:
+            rare.setdefault(x % known.rare if x < 1 << 63 else (x - (1 << 64)) % known.rare, set()).add(x)
+    leaf = [rank[x] if x in rank else known.known + (x if x < 1 << 63 else x - (1 << 64)) % known.rare for x in words]
+    out = [known.size] * 2 + leaf + [known.size] * 2
+    total = 0.0
+    for i, t in enumerate(leaf):
+        x = [v for k in (0, 1, 3, 4) for v in w["emb"][out[i + k]]]
+        h1 = [math.tanh(sum(a * w["w"][r][j] for r, a in enumerate(x)) + w["b"][j]) for j in range(h)]
+        a, b, c = t // (d * d), t // d % d, t % d
+        h2 = [math.tanh(v + w["g1"][a][j]) for j, v in enumerate(h1)]
+        h3 = [math.tanh(v + w["g2"][a * d + b][j]) for j, v in enumerate(h1)]
+        for hid, u, pr, k in ((h1, "u1", prior[0], a), (h2, "u2", prior[1][a], b), (h3, "u3", prior[2][a * d + b], c)):
+            logits = [sum(v * w[u][r][m] for r, v in enumerate(hid)) + pr[m] for m in range(d)]
+            total += logits[k] - math.log(sum(map(math.exp, logits)))
+        if t >= known.known:
+            total -= math.log(len(rare[t - known.known]))
+    return total
+
+
+def test_pseudo_likelihood_equals_plain_python(spark):
+    p = pseudo_likelihood
+    docs = small(spark).filter("length(text) < 3000")
+    model = p.train(docs)
+    texts = [r.text for r in docs.collect() if r.text]
+    counts = Counter(x for t in texts for x in Words(*utf8(pa.array([t])), lower=True).hash.tolist())
+    known = model.vocabulary
+    top = sorted(counts.items(), key=lambda x: (-x[1], x[0] if x[0] < 1 << 63 else x[0] - (1 << 64)))[:math.isqrt(sum(counts.values()))]
+    assert [x for x, _ in top] == known.hashes[np.argsort(known.rank)].tolist()
+    got = {r.doc_id: r for r in p.score(docs, model).collect()}
+    for r in docs.limit(6).collect():
+        assert abs(got[r.doc_id].log_likelihood - plain_score(model, counts, r.text)) < 1e-3 * max(1, got[r.doc_id].n_tokens)
+    # all leaves together have a probability of one
+    every = np.arange(known.size)
+    logs = p.Net(known, model.weights, model.weights).forward(np.full((known.size, 4), known.size), every)[0]
+    assert abs(np.exp(logs.astype(float)).sum() - 1) < 1e-3
+
+
+def test_pseudo_likelihood_gradient(spark):
+    p, rng = pseudo_likelihood, np.random.default_rng(2)
+    known = p.Vocabulary(np.arange(1, 31, dtype=np.uint64), np.arange(30.0, 0, -1), np.ones(4), np.ones(4))
+    flat = known.first_weights() + rng.normal(0, 0.2, len(known.first_weights())).astype(np.float32)
+    ids, leaf = rng.integers(0, 35, (50, 4)), rng.integers(0, 34, 50)
+    net = p.Net(known, flat.copy(), np.full_like(flat, 1e-12))
+    net.train(ids, leaf)
+    for k in rng.choice(np.flatnonzero(net.past > 1e-7), 25, replace=False):
+        up, down = flat.astype(np.float64), flat.astype(np.float64)
+        up[k] += 1e-4
+        down[k] -= 1e-4
+        slope = (p.Net(known, down, down).forward(ids, leaf)[0].mean() - p.Net(known, up, up).forward(ids, leaf)[0].mean()) / 2e-4
+        assert abs(abs(slope) - np.sqrt(net.past[k])) < 2e-3 * max(1, abs(slope)) and (slope > 0) == (net.flat[k] < flat[k])
+
+
+def test_pseudo_likelihood_is_the_same_for_other_files(spark):
+    p, docs = pseudo_likelihood, small(spark).filter("length(text) < 20000")
+    one = p.train(docs.coalesce(1), copy_words=20_000)
+    two = p.train(docs.repartition(5), copy_words=20_000)
+    assert (one.weights == two.weights).all() and (one.vocabulary.hashes == two.vocabulary.hashes).all()
+
+
+def test_pseudo_likelihood_vocabulary_grows(spark):
+    p, kept = pseudo_likelihood, Kept(spark)
+    few, n = p.vocabulary(kept, p.texts_of(small(spark), "doc_id", "text"))
+    more, m = p.vocabulary(kept, p.texts_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text"))
+    assert few.known == math.isqrt(n) and more.known == math.isqrt(m) and m > n
+
+
 def test_pseudo_likelihood_of_edge_rows(spark):
-    by = {r.doc_id: r for r in pseudo_likelihood.score(edge(spark), pseudo_likelihood.train(edge(spark))).collect()}
+    p = pseudo_likelihood
+    by = {r.doc_id: r for r in p.score(edge(spark), p.train(edge(spark))).collect()}
     assert by[2].n_tokens == 0 and by[2].log_likelihood == 0 and by[2].mean_log_likelihood is None
     assert by[7].n_tokens == 30_000 and by[7].log_likelihood < 0
-    assert (pseudo_likelihood.train(none(spark)) == pseudo_likelihood.first_weights()).all()
-    assert pseudo_likelihood.score(none(spark), pseudo_likelihood.first_weights()).count() == 0
+    empty = p.train(none(spark))
+    assert (empty.weights == empty.vocabulary.first_weights()).all()
+    assert p.score(none(spark), empty).count() == 0 and p.score(edge(spark), empty).count() == 10
 
 
 def test_pseudo_likelihood_blocks_hold_every_window_once(spark):
     p = pseudo_likelihood
+    known, _ = p.vocabulary(Kept(spark), p.texts_of(edge(spark), "doc_id", "text"))
     texts = [r.text or "" for r in edge(spark).collect()]
-    ids, at, hashes, _ = p.windows_of(pa.array(texts))
-    plain = Counter(tuple(x) for i, c, m in p.chunks(ids, at, *p.outputs(hashes)) for x in np.column_stack([i, c, m]).tolist())
-    cut = p.blocks(edge(spark), "doc_id", "text").collect()
-    dealt = Counter(tuple(x) for i, c, m in p.chunks(*p.block_windows([bytes(r.codes) for r in cut])) for x in np.column_stack([i, c, m]).tolist())
+    ids, at, _ = p.windows_of(known, pa.array(texts))
+    plain = Counter(tuple(x) for i, t in p.chunks(ids, at) for x in np.column_stack([i, t]).tolist())
+    cut = p.blocks(p.texts_of(edge(spark), "doc_id", "text"), known).collect()
+    dealt = Counter(tuple(x) for i, t in p.chunks(*p.block_windows(known, [bytes(r.codes) for r in cut])) for x in np.column_stack([i, t]).tolist())
     assert dealt == plain and sum(r.n for r in cut) == len(at)
     assert max(r.n for r in cut) == p.BLOCK
+
+
