@@ -33,7 +33,11 @@ def tokens_by_bytes(text: str = "text") -> Column:
 
 
 class Bins:
-    """Open bins by residual; bins of one residual by their source bitmap."""
+    """Open bins by residual; bins of one residual by their source bitmap.
+
+    ``having`` counts the open bins of each residual that hold a source or cluster, so
+    that residuals at which all bins conflict are passed over without a look at them.
+    """
 
     def __init__(self, capacity: int):
         self.capacity = capacity
@@ -42,18 +46,19 @@ class Bins:
         self.clusters: list[int] = []
         self.by_left: list[dict[int, dict[int, None]]] = [{} for _ in range(capacity + 1)]
         self.total = np.zeros(capacity + 1, np.int64)
-        self.having: dict[int, np.ndarray] = {}
+        self.having: tuple[dict[int, dict[int, int]], dict[int, dict[int, int]]] = ({}, {})
 
     def _count(self, bin_: int, by: int) -> None:
         left = self.left[bin_]
         self.total[left] += by
-        bits = self.sources[bin_]
-        while bits:
-            low = bits & -bits
-            if low not in self.having:
-                self.having[low] = np.zeros(self.capacity + 1, np.int64)
-            self.having[low][left] += by
-            bits ^= low
+        for bits, having in zip((self.sources[bin_], self.clusters[bin_]), self.having):
+            while bits:
+                low = bits & -bits
+                held = having.setdefault(low, {})
+                held[left] = held.get(left, 0) + by
+                if not held[left]:
+                    del held[left]
+                bits ^= low
 
     def _out(self, bin_: int) -> None:
         self._count(bin_, -1)
@@ -67,10 +72,11 @@ class Bins:
         self.by_left[self.left[bin_]].setdefault(self.sources[bin_], {})[bin_] = None
 
     def tightest(self, need: int, source: int, cluster: int) -> int | None:
-        free = self.total[need:]
-        if source and source in self.having:
-            free = free - self.having[source][need:]
-        for r in np.flatnonzero(free > 0).tolist():
+        free = self.total > 0
+        for own, having in zip((source, cluster), self.having):
+            for left, n in having.get(own, {}).items():
+                free[left] &= n < self.total[left]
+        for r in np.flatnonzero(free[need:]).tolist():
             for bits, bins in self.by_left[need + r].items():
                 if not bits & source:
                     for b in bins:
