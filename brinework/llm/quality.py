@@ -2,11 +2,17 @@
 
 Each text gets a few ratios. Mergeable quantile sketches (KLL) of every ratio are
 kept for each language and source, merged up to the language and to the corpus, and
-read as fences: the median plus a multiple of the distance from the median to a high
-quantile, but never nearer to the median than a fixed gap. A group with too few
-rows takes the fences of its language, and that those of the corpus. A group's fence
-is never wider than ``slack`` times its language's, so that a source of nothing but
-rubbish doesn't pass for normal. Rows beyond a fence are rejected.
+read as fences. Rubbish that is more than the sketch's rank error (1.5 %) shows as a
+valley: from the median up, the first two neighbouring quantiles of which the upper is
+``VALLEY`` times the lower; the fence stands between them, at their geometric mean.
+Without a valley it stands beyond the tail: the 0.995 quantile plus its distance from
+the median. Nothing else is fixed but the resolution of a ratio: one event in a text of
+median length, which is added to both quantiles of a valley and, four times, to a tail.
+A fence is a mean of the group's own and its language's, by rows against ``PRIOR``
+rows, and the language's one of its own and the corpus's; so small groups lean on
+larger ones without a switch. A group's fence is never wider than ``slack`` times its
+language's, so that a source of nothing but rubbish doesn't pass for normal. Rows
+beyond a fence are rejected.
 
 Null texts count as empty (and fail the base rule); null lang and source are groups
 of their own. Rows are judged one by one, so repeated rows and ids keep their places.
@@ -19,15 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import Kept, Words, line_hashes, line_spans, map_batches, row_and, utf8, windows
 
-#: ratio: the least distance of a fence from the median.
-GAPS = {"symbol_ratio": 0.10, "dup_line_ratio": 0.50, "repeat_ratio": 0.40, "word_length": 3.0, "pipe_ratio": 0.15, "capital_ratio": 0.35}
-SPREAD, HIGH, SLACK, LEAST_ROWS = 4.0, 0.75, 2.0, 200
+#: Each ratio and the count that it is a share of.
+RATIOS = {"symbol_ratio": "n_words", "dup_line_ratio": "n_lines", "repeat_ratio": "n_words", "word_length": None, "word_brevity": None, "pipe_ratio": "n_words", "capital_ratio": "n_letters"}
+VALLEY, SLACK, PRIOR = 4.0, 2.0, 200
+#: Ranks between which a valley is looked for, and the tail's.
+RANKS = [0.5 + k / 200 for k in range(98)]
+TAIL = 0.995
 #: Groups up to this many go to the tasks whole (some 20 MB); more are joined by shuffle.
 SENT_GROUPS = 50_000
 
@@ -112,7 +121,7 @@ def ratios() -> dict:
     words, letters = F.greatest(F.col("q.n_words"), F.lit(1)), F.greatest(F.col("q.n_letters"), F.lit(1))
     return {
         "symbol_ratio": F.col("q.n_symbols") / words, "dup_line_ratio": F.col("q.n_dup_lines") / F.greatest(F.col("q.n_lines"), F.lit(1)),
-        "repeat_ratio": F.col("q.n_repeat_words") / words, "word_length": F.col("q.word_chars") / words,
+        "repeat_ratio": F.col("q.n_repeat_words") / words, "word_length": F.col("q.word_chars") / words, "word_brevity": words / F.greatest(F.col("q.word_chars"), F.lit(1)),
         "pipe_ratio": F.col("q.n_pipes") / words, "capital_ratio": F.col("q.n_capitals") / letters,
     }
 
@@ -121,54 +130,63 @@ def base_failed():
     return (F.col("q.n_words") < 50) | (F.lit(100) * F.col("q.n_repeat_words") > F.lit(50) * F.col("q.n_words"))
 
 
+def fence(sketch: str, resolution) -> Column:
+    """The fence that a sketch of one ratio shows."""
+    q = F.kll_sketch_get_quantile_double(sketch, F.array(*map(F.lit, RANKS)))
+    tail, middle = F.kll_sketch_get_quantile_double(sketch, F.lit(TAIL)), F.kll_sketch_get_quantile_double(sketch, F.lit(0.5))
+
+    def at(i):
+        return F.element_at(q, i) + resolution
+
+    steps = F.filter(F.sequence(F.lit(1), F.lit(len(RANKS) - 1)), lambda i: at(i + 1) >= VALLEY * at(i))
+    first = F.get(steps, F.lit(0))
+    return F.when(F.size(steps) > 0, F.sqrt(at(first) * at(first + 1)) - resolution).otherwise(2 * tail - middle + 4 * resolution)
+
+
 def fences(kept: Kept, features: DataFrame) -> DataFrame:
     """(lang, source, f_<ratio>...) for each group, from one pass of partial sketches.
 
     ``features`` has lang, source and q. Only rows that pass the base rule count: a
-    median should describe texts that may stay.
+    quantile should describe texts that may stay.
     """
-    r = ratios()
+    r, sizes = ratios(), sorted({x for x in RATIOS.values() if x})
     good = features.filter(~base_failed())
-    rows = good.select("lang", "source", *[v.cast("double").alias(k) for k, v in r.items()])
-    groups = kept.put(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(k).alias(k) for k in r]))
+    rows = good.select("lang", "source", *[v.cast("double").alias(k) for k, v in r.items()], *[F.col(f"q.{x}").cast("double").alias(x) for x in sizes])
+    groups = kept.put(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(k).alias(k) for k in [*r, *sizes]]))
 
     def merged(df, keys):
-        return df.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in r])
+        return df.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in [*r, *sizes]])
 
-    def fenced(df, p):
-        def fence(k):
-            low, high = F.kll_sketch_get_quantile_double(k, F.lit(0.5)), F.kll_sketch_get_quantile_double(k, F.lit(HIGH))
-            return low + F.greatest(F.lit(SPREAD) * (high - low), F.lit(GAPS[k]))
-        return [F.col("n").alias(f"{p}n"), *[fence(k).alias(f"{p}{k}") for k in r]]
+    by_lang = kept.put(merged(groups, ["lang"]))
+    corpus = merged(by_lang, []).filter("n > 0")  # a sketch of nothing has no quantiles
+    one = {x: F.kll_sketch_get_quantile_double(x, F.lit(0.5)) for x in sizes}
+    unit = {k: 1 / F.greatest(one[x], F.lit(1.0)) if (x := RATIOS[k]) else F.lit(0.0) for k in r}
+    whole = kept.put(corpus.select(*[unit[k].alias(f"r_{k}") for k in r], *[fence(k, unit[k]).alias(f"w_{k}") for k in r]))  # one row
 
-    by_lang = merged(groups, ["lang"])
-    langs = by_lang.select("lang", *fenced(by_lang, "l_"))
-    whole = merged(by_lang, []).select(*fenced(merged(by_lang, []), "w_"))
-    own = groups.select("lang", "source", *fenced(groups, "g_"))
-    j = own.join(langs.withColumnRenamed("lang", "__l"), F.col("lang").eqNullSafe(F.col("__l"))).crossJoin(F.broadcast(whole))  # one row
+    def leaning(n, own, up):
+        return (n * own + PRIOR * up) / (n + PRIOR)
 
-    def chosen(k):
-        up = F.when(F.col("l_n") >= LEAST_ROWS, F.col(f"l_{k}")).otherwise(F.col(f"w_{k}"))
-        return F.when(F.col("g_n") >= LEAST_ROWS, F.least(F.col(f"g_{k}"), up * SLACK)).otherwise(up).alias(f"f_{k}")
-
-    return kept.put(j.select("lang", "source", *[chosen(k) for k in r]))
+    langs = by_lang.crossJoin(F.broadcast(whole))
+    langs = langs.select(F.col("lang").alias("__l"), *[f"r_{k}" for k in r], *[leaning(F.col("n"), fence(k, F.col(f"r_{k}")), F.col(f"w_{k}")).alias(f"l_{k}") for k in r])
+    j = groups.join(kept.put(langs), F.col("lang").eqNullSafe(F.col("__l")))
+    return kept.put(j.select("lang", "source", *[F.least(leaning(F.col("n"), fence(k, F.col(f"r_{k}")), F.col(f"l_{k}")), SLACK * F.col(f"l_{k}")).alias(f"f_{k}") for k in r]))
 
 
 def judged(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(row, q, base_failed, rejected_by, kept): ``row`` holds the input columns ``keep``.
 
-    Two passes over the texts: one for the fences, one for the verdicts.
+    One pass over the texts: the counts are written beside the columns that stay, and
+    read for the fences and again for the verdicts.
     """
     kept = Kept(docs.sparkSession)
     keep = docs.columns if keep is None else keep
-    small = with_features(docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").alias("text")), keep=["lang", "source"])
-    limits = fences(kept, small.select("row.lang", "row.source", "q"))
+    src = docs.select("*", F.col(f"`{lang_col}`").cast("string").alias("__l"), F.col(f"`{source_col}`").cast("string").alias("__s"))
+    rows = kept.put(with_features(src, text_col, keep=[*dict.fromkeys([*keep, "__l", "__s"])]))
+    limits = fences(kept, rows.select(F.col("row.__l").alias("lang"), F.col("row.__s").alias("source"), "q"))
     names = {k: f"f_{k}" for k in ratios()}
     side = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *names.values())
     if limits.count() <= SENT_GROUPS:
         side = F.broadcast(side)
-    src = docs.select("*", F.col(f"`{lang_col}`").cast("string").alias("__l"), F.col(f"`{source_col}`").cast("string").alias("__s"))
-    rows = with_features(src, text_col, keep=[*dict.fromkeys([*keep, "__l", "__s"])])
     j = rows.join(side, F.col("row.__l").eqNullSafe(F.col("__lang")) & F.col("row.__s").eqNullSafe(F.col("__source")), "left")
     over = F.array_compact(F.array(*[F.when(v > F.col(names[k]), F.lit(k)) for k, v in ratios().items()]))
     out = F.struct(*[F.col(f"row.`{c}`").alias(c) for c in keep]).alias("row")

@@ -5,6 +5,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from brinework.llm import decontamination, langid, pseudo_likelihood, quality, queries
 from brinework.llm.shared import Kept, Words, utf8
 
@@ -95,6 +97,60 @@ def test_leaks_of_edge_rows(spark):
     assert decontamination.clean(edge(spark), items.limit(0)).count() == 10
 
 
+def plain_fence(values, unit):
+    s = sorted(values)
+
+    def q(rank):
+        return s[max(0, math.ceil(round(rank * len(s), 9)) - 1)]
+
+    for lo, hi in zip(quality.RANKS, quality.RANKS[1:]):
+        if q(hi) + unit >= quality.VALLEY * (q(lo) + unit):
+            return math.sqrt((q(lo) + unit) * (q(hi) + unit)) - unit
+    return 2 * q(quality.TAIL) - q(0.5) + 4 * unit
+
+
+def test_verdicts_equal_brute_force(spark):
+    rows = small(spark).select("doc_id", "text", "lang", "source").collect()
+    measured = dict(zip(quality._NAMES, quality.measure(pa.array([r.text for r in rows], pa.string()))))
+    ratio = {
+        "symbol_ratio": ("n_symbols", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words"),
+        "word_brevity": ("n_words", "word_chars"), "pipe_ratio": ("n_pipes", "n_words"), "capital_ratio": ("n_capitals", "n_letters"),
+    }
+    value = {k: measured[a] / np.maximum(measured[b], 1) for k, (a, b) in ratio.items()}
+    n = measured["n_words"]
+    good = ~((n < 50) | (100 * measured["n_repeat_words"] > 50 * n))
+    lang, source = np.array([str(r.lang) for r in rows]), np.array([str(r.source) for r in rows])
+    over = np.zeros(len(rows), bool)
+    for k, base in quality.RATIOS.items():
+        unit = 1 / max(1, sorted(measured[base][good])[math.ceil(good.sum() / 2) - 1]) if base else 0.0
+        whole = plain_fence(value[k][good], unit)
+        for x in set(lang[good]):
+            mine = good & (lang == x)
+            up = (mine.sum() * plain_fence(value[k][mine], unit) + quality.PRIOR * whole) / (mine.sum() + quality.PRIOR)
+            for y in set(source[mine]):
+                own = mine & (source == y)
+                fence = min((own.sum() * plain_fence(value[k][own], unit) + quality.PRIOR * up) / (own.sum() + quality.PRIOR), quality.SLACK * up)
+                over |= own & (value[k] > fence)
+    got = {r.doc_id: r for r in queries.op5_quality_rules(spark, SMALL).collect()}
+    assert [got[r.doc_id].kept for r in rows] == (good & ~over).tolist() and over.any()
+
+
+def test_sketched_quantiles_are_close(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    values = np.sort(np.array([r.n for r in docs.selectExpr("cast(length(text) as double) as n").collect()]))
+    ranks = spark.createDataFrame([(float(x),) for x in values], "n double").repartition(7).agg(F.kll_sketch_agg_double("n").alias("k"))
+    got = ranks.select(F.kll_sketch_get_quantile_double("k", F.array(*map(F.lit, quality.RANKS)))).first()[0]
+    for p, q in zip(quality.RANKS, got):
+        assert abs(np.searchsorted(values, q, "right") / len(values) - p) < 0.03
+
+
+def test_labelled_good_texts_stay(spark):
+    where = "/root/testdata/sf0.1"
+    got = queries.op5_quality_rules(spark, where).join(spark.read.parquet(f"{where}/labels.parquet"), "doc_id").filter("not base_failed")
+    share = {r.quality: r.kept for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert share[1] >= 0.98 and share[0] <= 0.02
+
+
 def mean_score(docs, model):
     return pseudo_likelihood.score(docs, model).selectExpr("sum(log_likelihood) / sum(n_tokens) as m").first().m
 
