@@ -7,36 +7,47 @@ edits of the item.
 The CGK walk reads a sequence from the left: step j puts out the word under the
 pointer and moves the pointer by a random bit of (walk, j, word). Two sequences few
 edits apart fall into step again soon, so most of their outputs agree. Every stretch
-of a text that may hold an item is walked from its first word, ``WALKS`` times with
+of a text that may hold an item is walked from its first word, several times with
 other bits; from each walk ``TABLES`` keys of ``BITS`` sampled outputs are looked up
 among the items' keys, sampled from the first 2 * n steps of the items' size class.
-What meets in any of the WALKS * TABLES tables is verified by bit-parallel edit
-distance against the text, so results are exact but for items that no table finds.
+How many walks a size class needs is found when its index is built: random sequences
+of its largest size with all n // 5 edits used up are walked until ``RECALL`` of them
+meet in a table. What meets is verified by bit-parallel edit distance against the
+text, so results are exact but for items that no table finds. Items of fewer than
+``SHORT`` words allow no edit and are found exactly, by the hash of their words.
 
 Before that, positions are left out at which a match can't begin: an edit breaks two
 pairs of neighbouring words, so one within e edits keeps n - 1 - 2 * e of the item's
 pairs within n + e words of the text. Pairs known to the benchmark are counted there
 (by a bit table, whose false hits only cost work).
 
-The items are a stated query set: they go to the tasks in blocks of ``BLOCK`` items,
-one pass over the texts for each. Items with fewer than ``LEAST`` words are too
-common to speak of contamination and are not searched. Null and empty texts and
-items hold nothing; equal items are reported under each id; repeated rows are
-reported as often as they stand. Other columns are not looked at.
+The items are a stated query set: a hash deals them to blocks of about ``BLOCK``, a task
+builds each block's index, and the driver sends one after the other to the tasks, a
+pass over the texts for each; where there are more than one, a pass is written before
+the next index is fetched. Null and empty texts and items hold nothing; equal items
+are reported under each id, repeated rows of items once, repeated rows of texts as
+often as they stand. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import PUNCTUATION, Words, map_batches, mix, row_and, seeds, utf8, windows
+from .shared import PUNCTUATION, Kept, Words, map_batches, mix, row_and, seeds, utf8, windows
 
-LEAST, WALKS, TABLES, BITS, BLOCK = 5, 8, 12, 3, 20_000
+SHORT, TABLES, BITS, BLOCK = 5, 12, 3, 8000
+#: The share of items with all edits used up that the tables must find, and the pairs it is measured on.
+RECALL, TRIED = 0.99, 400
+#: Words of the shortest item for which ``clean`` drops a text; fewer are too common to speak of contamination.
+TELLING = 5
 _PAIRS = 24
 _PAD = np.uint64(0x5851F42D4C957F2D)
 
@@ -91,26 +102,72 @@ def walk(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.uint6
     return out
 
 
+def sampled_steps(size: int, walks: int) -> list[list[int]]:
+    """The steps of each table, those of one walk after another."""
+    rng = np.random.default_rng(17)
+    return [sorted(rng.choice(2 * size, BITS, replace=False).tolist()) for _ in range(walks * TABLES)]
+
+
+def salts(walks: int) -> np.ndarray:
+    return seeds(1024, 41)[:walks]
+
+
+@cache
+def walks_for(least: int, most: int, recall: float = RECALL) -> int:
+    """Walks after which that share of random items of ``most`` words, edited to the limit, has met its copy."""
+    rng = np.random.default_rng(most)
+    pairs = []
+    for _ in range(TRIED):
+        item = rng.integers(1, 1 << 62, most).tolist()
+        copy = list(item)
+        for _ in range(edits(most)):
+            at, how = int(rng.integers(len(copy))), rng.integers(3)
+            copy[at:at + 1] = [[int(rng.integers(1, 1 << 62))], [copy[at], int(rng.integers(1, 1 << 62))], []][how]
+        pairs.append((item, copy + rng.integers(1, 1 << 62, most).tolist()))  # the text goes on
+    flat = [np.concatenate([np.array(p[k], np.uint64) for p in pairs]) for k in (0, 1)]
+    ends = [np.cumsum([len(p[k]) for p in pairs]) for k in (0, 1)]
+    starts = [e - [len(p[k]) for p in pairs] for k, e in enumerate(ends)]
+    met, every = np.zeros(TRIED, bool), sampled_steps(least, 256)
+    for w, salt in enumerate(salts(256)):
+        own = every[w * TABLES:(w + 1) * TABLES]
+        steps = sorted({j for s in own for j in s})
+        a, b = (walk(flat[k], starts[k], ends[k], salt, steps) for k in (0, 1))
+        for s in own:
+            met |= np.all([a[j] == b[j] for j in s], axis=0)
+        if met.mean() >= recall:
+            return w + 1
+    return 256
+
+
 class Index:
     """The keys of a block of items, by size class."""
 
     def __init__(self, ids: list[int], items: list[np.ndarray]):
         self.ids, self.items = ids, items
-        sizes = np.array([len(x) for x in items])
-        self.sizes = np.unique(sizes)
-        self.known = np.zeros(1 << _PAIRS, bool)
+        sizes = np.array([len(x) for x in items], np.int64)
+        #: For each size below SHORT the items' hashes, in order, and the items.
+        self.short: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for n in range(1, SHORT):
+            own = np.flatnonzero(sizes == n)
+            if len(own):
+                h = np.array([windows(items[i], n)[0] for i in own], np.uint64)
+                self.short.append((n, np.sort(h), own[np.argsort(h, kind="stable")]))
+        self.sizes = np.unique(sizes[sizes >= SHORT])
+        known = np.zeros(1 << _PAIRS, bool)
         for x in items:
-            self.known[self.slots(x)] = True
-        self.salts = seeds(WALKS, 41)
+            if len(x) >= SHORT:
+                known[self.slots(x)] = True
+        self.known = np.packbits(known, bitorder="little")
         # classes of sizes within a half of each other share their sampled steps
         self.classes: list[tuple[int, int]] = []
         for n in self.sizes.tolist():
             if not self.classes or n >= self.classes[-1][0] * 1.5:
                 self.classes.append((n, n))
             self.classes[-1] = (self.classes[-1][0], n)
-        rng = np.random.default_rng(17)
-        self.steps = [[sorted(rng.choice(2 * lo, BITS, replace=False).tolist()) for _ in range(WALKS * TABLES)] for lo, _ in self.classes]
-        self.needed = [sorted({j for t in range(w * TABLES, (w + 1) * TABLES) for c in self.steps for j in c[t]}) for w in range(WALKS)]
+        self.walks = [walks_for(lo, hi) for lo, hi in self.classes]
+        self.salts = salts(max(self.walks, default=0))
+        self.steps = [sampled_steps(lo, walks) for (lo, _), walks in zip(self.classes, self.walks)]
+        self.needed = [sorted({j for c in range(len(self.classes)) for t in self.tables(c, w) for j in self.steps[c][t]}) for w in range(len(self.salts))]
         self.keys, self.owner = [], []
         self.mult = seeds(BITS, 43)
         if not items:
@@ -121,9 +178,9 @@ class Index:
         for c, (lo, hi) in enumerate(self.classes):
             own = np.flatnonzero((sizes >= lo) & (sizes <= hi))
             keys, owner = [], []
-            for w in range(WALKS):
+            for w in range(self.walks[c]):
                 out = walk(flat, starts[own], ends[own], self.salts[w], self.needed[w])
-                for t in range(w * TABLES, (w + 1) * TABLES):
+                for t in self.tables(c, w):
                     keys.append(self.key(out, c, t))
                     owner.append(own)
             keys, owner = np.concatenate(keys), np.concatenate(owner)
@@ -131,6 +188,10 @@ class Index:
             self.keys.append(keys[order])
             self.owner.append(owner[order])
 
+    def tables(self, c: int, w: int) -> range:
+        """The tables of walk w in class c: none where the class needs fewer walks."""
+        return range(w * TABLES, (w + 1) * TABLES) if w < self.walks[c] else range(0)
+
     def key(self, out: dict[int, np.ndarray], c: int, t: int) -> np.ndarray:
         k = np.full(len(out[self.steps[c][t][0]]), t + 1, np.uint64)
         for b, j in enumerate(self.steps[c][t]):
@@ -145,7 +206,8 @@ class Index:
         """For each class, the positions at which an item of it may begin."""
         n = max(0, len(words) - 1)
         sums = np.zeros(n + 1, np.int32)
-        np.cumsum(self.known[self.slots(words)], out=sums[1:])
+        slots = self.slots(words)
+        np.cumsum(self.known[slots >> 3] >> (slots & 7).astype(np.uint8) & 1, out=sums[1:])
         out = []
         for lo, hi in self.classes:
             may = np.zeros(n, bool)
@@ -168,14 +230,14 @@ class Index:
             part = starts[lo:lo + (1 << 16)]
             ends = first[np.searchsorted(first, part, "right")]
             mine = [np.isin(part, p, assume_unique=True) for p in places]
-            for w in range(WALKS):
+            for w in range(len(self.salts)):
                 out = walk(words, part, ends, self.salts[w], self.needed[w])
                 for c in range(len(self.classes)):
                     rows = np.flatnonzero(mine[c])
                     if not len(rows):
                         continue
-                    own = {j: out[j][rows] for t in range(w * TABLES, (w + 1) * TABLES) for j in self.steps[c][t]}
-                    for t in range(w * TABLES, (w + 1) * TABLES):
+                    own = {j: out[j][rows] for t in self.tables(c, w) for j in self.steps[c][t]}
+                    for t in self.tables(c, w):
                         k = self.key(own, c, t)
                         left = np.searchsorted(self.keys[c], k, "left")
                         hit = np.flatnonzero(self.keys[c][np.minimum(left, len(self.keys[c]) - 1)] == k)
@@ -207,56 +269,87 @@ class Index:
             d, end = best_match(self.items[i], words[lo:hi])
             if d <= e and d < best.get((t, i), (1 << 40,))[0]:
                 best[t, i] = d, int(lo + end - n - first[t])
+        for n, hashes, owner in self.short:
+            at = np.arange(max(0, len(words) - n + 1))
+            text = np.searchsorted(first, at, "right") - 1
+            h = windows(words, n)
+            left, right = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            # a window over a text's end is none of its
+            for k in np.flatnonzero((right > left) & (at + n <= first[text + 1])).tolist():
+                for i in owner[left[k]:right[k]].tolist():
+                    best.setdefault((int(text[k]), i), (0, int(at[k] - first[text[k]])))
         return [(t, i, d, max(0, s)) for (t, i), (d, s) in best.items()]
 
 
-def indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """Indexes of BLOCK items each; the items are read through an iterator, not at once."""
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.lower(text_col).alias("t")).filter("t is not null").orderBy("i", "t")
-    out, ids, seqs = [], [], []
-    for r in rows.toLocalIterator():
-        h, _ = word_hashes(pa.array([r["t"]], pa.string()))
-        if len(h) >= LEAST:
-            ids.append(r["i"])
-            seqs.append(h)
-        if len(ids) == BLOCK:
-            out.append(Index(ids, seqs))
-            ids, seqs = [], []
-    return [*out, Index(ids, seqs)] if ids else out
+def indexes(kept: Kept, items: DataFrame, id_col: str = "item_id", text_col: str = "text", least: int = 1) -> tuple[DataFrame, int]:
+    """(block, index) rows, an index of about BLOCK items in each, and how many there are."""
+    rows = items.select(F.col(id_col).cast("long").alias("i"), F.lower(text_col).alias("t")).filter("t is not null").distinct()
+    blocks = -(-rows.count() // BLOCK)
+
+    def build(part: pa.Table) -> pa.Table:
+        part = part.sort_by([("i", "ascending"), ("t", "ascending")])
+        h, first = word_hashes(part["t"].combine_chunks() if part["t"].num_chunks != 1 else part["t"].chunk(0))
+        some = [k for k in range(part.num_rows) if first[k + 1] - first[k] >= least]
+        ids = part["i"].to_pylist()
+        made = Index([ids[k] for k in some], [h[first[k]:first[k + 1]] for k in some])
+        return pa.table({"block": part["block"][:1], "index": pa.array([pickle.dumps(made)], pa.binary())})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(max(1, blocks))).cast("int"))
+    return kept.put(dealt.groupBy("block").applyInArrow(build, "block int, index binary")), blocks
+
+
+def sent_indexes(kept: Kept, items: DataFrame, item_col: str, least: int = 1) -> Iterator[tuple[Broadcast, bool]]:
+    """Each block's index, sent to the tasks, and whether others follow or came before."""
+    made, blocks = indexes(kept, items, item_col, least=least)
+    for k in range(blocks):
+        for r in made.filter(F.col("block") == k).collect():  # one row
+            yield kept.spark.sparkContext.broadcast(bytes(r["index"])), blocks > 1
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """(doc_id, item_id, n_edits, item_words, start_word): one row for each text and item it holds."""
+    """(doc_id, item_id, n_edits, item_words, start_word): one row for each text and item it holds.
+
+    start_word is where an item's length before the end of its best match begins.
+    """
     spark, schema = docs.sparkSession, "doc_id long, item_id long, n_edits int, item_words int, start_word long"
+    kept = Kept(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_col).alias("text"))
     out = spark.range(0).selectExpr("id as doc_id", "id as item_id", "cast(id as int) as n_edits", "cast(id as int) as item_words", "id as start_word")
-    for index in indexes(items, item_col):
-        sent = spark.sparkContext.broadcast(index)
-
+    for sent, several in sent_indexes(kept, items, item_col):
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ix = pickle.loads(sent.value)
             for b in batches:
-                ix, ids = sent.value, b.column("doc_id").to_pylist()
+                ids = b.column("doc_id").to_pylist()
                 got = ix.matches(*word_hashes(b.column("text")))
                 yield pa.record_batch([
                     pa.array([ids[t] for t, *_ in got], pa.int64()), pa.array([ix.ids[i] for _, i, *_ in got], pa.int64()), pa.array([d for _, _, d, _ in got], pa.int32()),
                     pa.array([len(ix.items[i]) for _, i, *_ in got], pa.int32()), pa.array([s for *_, s in got], pa.int64()),
                 ], ["doc_id", "item_id", "n_edits", "item_words", "start_word"])
 
-        out = out.unionByName(map_batches(rows, work, schema))
+        found = map_batches(rows, work, schema)
+        if several:
+            found = kept.put(found)
+            sent.destroy()
+        out = out.unionByName(found)
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns as they were."""
-    spark = docs.sparkSession
-    for index in indexes(items, item_col):
-        sent = spark.sparkContext.broadcast(index)
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", telling: int = TELLING) -> DataFrame:
+    """The rows of ``docs`` that hold no item of ``telling`` words or more, all columns as they were."""
+    kept = Kept(docs.sparkSession)
+    for sent, several in sent_indexes(kept, items, item_col, telling):
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.lower(F.col(f"`{text_col}`")).alias("text"))
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ix = pickle.loads(sent.value)
             for b in batches:
-                bad = {t for t, *_ in sent.value.matches(*word_hashes(b.column("text")))}
+                bad = {t for t, *_ in ix.matches(*word_hashes(b.column("text")))}
                 yield pa.record_batch([b.column("row").filter(pa.array([k not in bad for k in range(b.num_rows)], pa.bool_()))], ["row"])
 
-        docs = map_batches(rows, work, row_and(rows)).select("row.*")
+        left = map_batches(rows, work, row_and(rows)).select("row.*")
+        if several:
+            left, before = kept.put(left), docs
+            sent.destroy()
+            kept.drop(before)
+        docs = left
     return docs

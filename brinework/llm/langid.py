@@ -36,7 +36,7 @@ def _letters() -> np.ndarray:
     """Whether each code point is a letter; made once in a process."""
     if not hasattr(_letters, "table"):
         table = np.zeros(0x110000, bool)
-        table[[c for c in range(0x30000) if chr(c).isalpha()]] = True
+        table[[c for c in range(0x110000) if chr(c).isalpha()]] = True
         _letters.table = table
     return _letters.table
 

@@ -78,7 +78,7 @@ def test_leaks_equal_brute_force(spark):
             for j, item in items.items():
                 pairs = set(zip(item, item[1:]))
                 # one within n // 5 edits keeps a pair of neighbours at least
-                if len(item) >= decontamination.LEAST and any(p in pairs for p in zip(text, text[1:])):
+                if any(p in pairs for p in zip(text, text[1:])):
                     d = nearest_stretch(item, text)
                     if d <= len(item) // 5:
                         want.add((i, j, d))
@@ -87,10 +87,40 @@ def test_leaks_equal_brute_force(spark):
     assert len({x[:2] for x in got}) >= 0.95 * len(want)
 
 
+def test_items_edited_to_the_limit_are_found(spark, monkeypatch):
+    """Items of many sizes, each with all n // 5 edits used up amid other words; those of one to four words whole."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(5000)]
+
+    def some(n):
+        return rng.choice(vocabulary, n).tolist()
+
+    items, docs, want = [], [], {}
+    for k, n in enumerate([1, 2, 3, 4, 4] + [5, 9, 12, 19, 30, 45, 60, 100, 150, 300, 400] * 10):
+        item = [f"item{k}", *some(n - 1)]
+        copy = list(item)
+        for _ in range(decontamination.edits(n)):
+            at, how = int(rng.integers(len(copy))), rng.integers(3)
+            copy[at:at + 1] = [["xx"], [copy[at], "yy"], []][how]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(some(80) + copy + some(80))))
+        want[k] = nearest_stretch(item, docs[-1][1].split())
+    items, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(decontamination, "BLOCK", 40)  # three blocks
+    got = {r.doc_id: r.n_edits for r in decontamination.leaks(docs, items).collect() if r.doc_id == r.item_id}
+    assert all(k in got for k in range(5))
+    assert sum(k in got for k in want) >= 0.97 * len(want)
+    assert sum(got[k] == want[k] for k in got) >= 0.98 * len(got)
+    left = {r.doc_id for r in decontamination.clean(docs, items).collect()}
+    assert left == {k for k in want if k < 5 or k not in got}
+
+
 def test_leaks_of_edge_rows(spark):
     items = spark.createDataFrame([(1, "Quick brown fox, jumps over the LAZY dog near"), (2, None), (3, ""), (4, "one two")], "item_id long, text string")
     got = decontamination.leaks(edge(spark), items).collect()
-    assert [(r.doc_id, r.item_id, r.n_edits) for r in got] == [(1, 1, 0), (1, 1, 0)]
+    assert sorted((r.doc_id, r.item_id, r.n_edits, r.start_word) for r in got) == [(1, 1, 0, 1), (1, 1, 0, 1), (5, 4, 0, 0), (6, 4, 0, 0)]
+    again = decontamination.leaks(edge(spark), items.unionByName(items)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
     left = decontamination.clean(edge(spark), items)
     assert left.columns == edge(spark).columns and left.count() == 8
     assert decontamination.leaks(none(spark), items).count() == 0 and decontamination.leaks(edge(spark), items.limit(0)).count() == 0
