@@ -98,10 +98,13 @@ def msg_insert(t):
     return t.conversations.select("conv_id", "turn", "role").unionByName(added)
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'accepted' WHEN turn % 3 = 1 THEN 'rejected' ELSE 'modified' END AS action, text AS original FROM conversations WHERE role = 'assistant'")
+_ACTION = "CASE turn % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' WHEN 2 THEN 'modified' ELSE 'liked' END"
+
+
+@query(f"SELECT conv_id, turn, {_ACTION} AS action, text AS original FROM conversations WHERE role = 'assistant' AND {_ACTION} <> 'liked'")
 def feedback_insert(t):
-    action = F.element_at(F.array(*map(F.lit, ["accepted", "rejected", "modified"])), (F.col("turn") % 3 + 1).cast("int"))
-    notes = t.conversations.select("conv_id", "turn", action.alias("action")).filter(F.col("action").isin("accepted", "rejected", "modified"))
+    """Feedback with an action that is known, about a message that exists; it keeps what was said."""
+    notes = t.conversations.select("conv_id", "turn", F.expr(_ACTION).alias("action")).filter(F.col("action").isin("accepted", "rejected", "modified"))
     told = t.conversations.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("original"))
     return notes.join(told, ["conv_id", "turn"])
 
@@ -116,7 +119,7 @@ _CONN = "(SELECT s_suppkey AS id, s_name AS name, s_suppkey % 5 <> 0 AS is_activ
 
 @query(f"SELECT id, name FROM {_CONN} WHERE is_active")
 def conn_list(t):
-    return _connections(t).filter("is_active").select("id", "name")
+    return _connections(t).filter("is_active").select("id", "name").orderBy(F.desc("id"))  # the newest first
 
 
 @query(f"SELECT id, name, schema_ddl FROM {_CONN} WHERE id = 4 AND is_active")
@@ -161,7 +164,17 @@ def sse_frame(t):
     return t.conversations.select("conv_id", "turn", F.concat(F.lit("data: "), F.to_json(F.struct("role")), F.lit("\n\n")).alias("frame"))
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || substring(text, 1, 20), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY 1")
+_PROMPT_HEAD = "Answer in the dialect."
+
+
+@query(f"""SELECT conv_id, '{_PROMPT_HEAD}' || chr(10) || chr(10) || '-- table nation' || chr(10) || d.ddl || chr(10) || chr(10) || h.said AS prompt
+    FROM (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS said FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 12 GROUP BY 1) h,
+    (SELECT 'nation(' || string_agg(n_name, ', ' ORDER BY n_nationkey) || ')' AS ddl FROM nation) d""")
 def prompt_render(t):
-    line = F.concat("role", F.lit(": "), F.substring("text", 1, 20))
-    return t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda m: m["line"]), "\n").alias("prompt"))
+    """Rules, the schema's text and the last twelve messages, whole, as one prompt for each conversation."""
+    schema = t.nation.agg(F.concat(F.lit("nation("), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda n: n["n_name"]), ", "), F.lit(")")).alias("ddl"))
+    last = t.conversations.withColumn("rn", F.row_number().over(newest())).filter("rn <= 12")
+    line = F.concat("role", F.lit(": "), "text")
+    said = last.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda m: m["line"]), "\n").alias("said"))
+    head = F.concat(F.lit(f"{_PROMPT_HEAD}\n\n-- table nation\n"), "ddl", F.lit("\n\n"), "said")
+    return said.crossJoin(F.broadcast(schema)).select("conv_id", head.alias("prompt"))  # one row

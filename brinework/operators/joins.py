@@ -4,19 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions import dialect as D
 from ..plans.registry import query
 from .aggregates import LINES_AS_OF, ORDERS_AS_OF, money, stamp
 
 SHARDS = 8
-#: The dialect's bound for replicated tables is 100 MB; a side is sent whole under this many rows.
-REPLICATED_ROWS = 1_000_000
+#: The dialect's bound for replicated tables.
+REPLICATED_BYTES = 100 << 20
 
 
 def replicated(df: DataFrame) -> DataFrame:
-    """A broadcast side where its rows are few, as it is otherwise."""
-    return F.broadcast(df) if df.limit(REPLICATED_ROWS + 1).count() <= REPLICATED_ROWS else df
+    """A broadcast side where its values are under the bound, as it is otherwise.
+
+    Texts count by their bytes, lists by those of their texts, all else as eight.
+    """
+    def size(name: str, kind: str):
+        if kind == "string":
+            return F.coalesce(F.octet_length(name), F.lit(0)) + 8
+        if kind == "array<string>":
+            return F.coalesce(F.octet_length(F.array_join(name, "", "")), F.lit(0)) + 8 * (1 + F.coalesce(F.size(name), F.lit(0)))
+        return F.lit(8)
+
+    sizes = [size(f"`{c}`", k) for c, k in df.dtypes]
+    total = df.agg(F.sum(sum(sizes[1:], sizes[0]))).first()[0] or 0
+    return F.broadcast(df) if total <= REPLICATED_BYTES else df
 
 
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -24,11 +37,14 @@ def join_inner_equi(t):
     return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
-@query("SELECT o_custkey, count(*) AS n FROM orders JOIN events ON o_custkey = user_id AND day(o_orderdate) = day(ts) GROUP BY 1")
+@query("""SELECT a.user_id, CAST(a.ts AS DATE) AS day, count(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id AND CAST(a.ts AS DATE) = CAST(b.ts AS DATE)
+    WHERE a.event_type = 'click' AND b.event_type = 'purchase' GROUP BY 1, 2""")
 def join_inner_multi(t):
-    orders, events = t.orders.groupBy("o_custkey", F.dayofmonth("o_orderdate").alias("d")).count(), t.events.groupBy("user_id", F.dayofmonth("ts").alias("e")).agg(F.count(F.lit(1)).alias("m"))
-    met = orders.join(events, (F.col("o_custkey") == F.col("user_id")) & (F.col("d") == F.col("e")))  # counted before they meet
-    return met.groupBy("o_custkey").agg(F.sum(F.col("count") * F.col("m")).alias("n"))
+    """Two keys, one of them DATE(a) = DATE(b); both sides are counted before they meet."""
+    def counted(kind):
+        return t.events.filter(F.col("event_type") == kind).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias(kind))
+    met = counted("click").join(counted("purchase"), ["user_id", "day"])
+    return met.select("user_id", "day", (F.col("click") * F.col("purchase")).alias("n"))
 
 
 @query(f"""SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN
@@ -73,10 +89,9 @@ _CHAIN = """WITH RECURSIVE c(k, lvl) AS (SELECT c_custkey, 0 FROM customer WHERE
 
 def climb(t):
     """(k, lvl): the agents above customer 101, each half of the one below."""
-    t.customer.select("c_custkey").createOrReplaceTempView("chain_customer")
-    t.spark.conf.set("spark.sql.cteRecursionLevelLimit", "1000")
-    return t.spark.sql("""WITH RECURSIVE c(k, lvl) AS (SELECT c_custkey, 0 FROM chain_customer WHERE c_custkey = 101
-        UNION ALL SELECT c_custkey DIV 2, lvl + 1 FROM c JOIN chain_customer ON c.k = c_custkey WHERE c_custkey DIV 2 > 0) SELECT k, lvl FROM c""")
+    # halving reaches 1 in 63 steps at most, within Spark's limit of 100 levels
+    return t.spark.sql("""WITH RECURSIVE c(k, lvl) AS (SELECT c_custkey, 0 FROM {customer} WHERE c_custkey = 101
+        UNION ALL SELECT c_custkey DIV 2, lvl + 1 FROM c JOIN {customer} ON c.k = c_custkey WHERE c_custkey DIV 2 > 0) SELECT k, lvl FROM c""", customer=t.customer.select("c_custkey"))
 
 
 @query(_CHAIN)
@@ -94,9 +109,20 @@ def shard_counts(t):
     return t.orders.groupBy(D.shard(F.col("o_custkey"), SHARDS).alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("keys"))
 
 
-@query(f"SELECT round(max(n) / avg(n), 4) AS skew, sum(k)::BIGINT AS keys FROM (SELECT o_custkey % {SHARDS}, count(*) AS n, count(DISTINCT o_custkey) AS k FROM orders GROUP BY 1)")
+#: Columns of orders that might distribute it.
+_KEYS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("WITH c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS key, CAST({k} AS VARCHAR) AS v, count(*) AS n FROM orders GROUP BY 2" for k in _KEYS) + f"""),
+    s AS (SELECT key, count(DISTINCT v) AS distinct_values, coalesce(sum(n) FILTER (WHERE v IS NULL), 0)::BIGINT AS nulls, round(max(n) / sum(n), 6) AS most FROM c GROUP BY 1)
+    SELECT *, row_number() OVER (ORDER BY distinct_values < {SHARDS}, most, key) = 1 AS advised FROM s""")
 def skew_advice(t):
-    return shard_counts(t).agg(F.round(F.max("n") / F.avg("n"), 4).alias("skew"), F.sum("keys").alias("keys"))
+    """Each column as a distribution key: different values, nulls, its most frequent value's share; the evenest is advised."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("v")) for k in _KEYS]))
+    counts = t.orders.select(each.alias("c")).groupBy("c.key", "c.v").agg(F.count(F.lit(1)).alias("n"))
+    got = counts.groupBy("key").agg(F.count("v").alias("distinct_values"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).cast("long").alias("nulls"), F.round(F.max("n") / F.sum("n"), 6).alias("most"))
+    rank = F.row_number().over(Window.orderBy(F.col("distinct_values") < SHARDS, "most", "key"))  # a row for each column
+    return got.withColumn("advised", rank == 1)
 
 
 @query(f"SELECT o_orderkey, CAST(o_custkey % {SHARDS} AS BIGINT) AS node FROM orders")

@@ -1,4 +1,9 @@
-"""Retrieval over question tables, and extraction from message and statement texts."""
+"""Retrieval over question tables, and extraction from message texts.
+
+The test tables hold no statements, so the queries put some into messages: a message
+is a turn of ``conversations`` with a block, a statement or a reply beside its text,
+by a rule that DuckDB reads as well.
+"""
 
 from __future__ import annotations
 
@@ -7,80 +12,100 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..plans.registry import query
+from .joins import replicated
 
-_TICKS = chr(96) * 3
-#: Rows of statement texts and messages that the test tables don't hold.
-MESSAGES = [
-    (1, f"Here:\n{_TICKS}sql\nSELECT a FROM t\n{_TICKS}\ndone", '{"intent": "sql"}', '["a","b"]', "x, y，z,,"),
-    (2, f"{_TICKS}\nWITH c AS (SELECT 1) SELECT * FROM c\n{_TICKS}", 'so: {"intent":"qa"} ok', "not json", " one "),
-    (3, "try\nSELECT b FROM u\nWHERE b > 1\n\nthanks", "none", "[]", ""),
-    (4, "no statement here", '{"intent": "other"}', None, "中,文"),
-    (5, f"{_TICKS}sql\nDELETE FROM t", "", '["q"]', None),
-]
-STATEMENTS = [
-    (1, "SELECT id, name FROM users"), (2, "SELECT * FROM users FOR UPDATE"), (3, "LOCK TABLES users WRITE"), (4, "CREATE TRIGGER x BEFORE INSERT ON t FOR EACH ROW SET a = 1"),
-    (5, "INSERT INTO t VALUES (1)"), (6, "DROP TABLE t"), (7, "SELECT a.id FROM a JOIN b"), (8, "SELECT a.id FROM a JOIN b ON a.id = b.id"), (9, "CREATE TABLE t(id INT) REPLICATED DISTRIBUTED BY('id')"),
-    (10, "SELECT 'for update' FROM t"), (11, "CREATE TABLE d(id INT, v VARCHAR(9), k INT) DISTRIBUTED BY('k')"), (12, "CREATE TABLE d(id INT) DISTRIBUTED BY('z')"), (13, ""),
-]
-
-
-def _rows(t, rows, schema) -> DataFrame:
-    return t.spark.createDataFrame(rows, schema)
+_TICKS, _NL = "chr(96) || chr(96) || chr(96)", "chr(10)"
+#: A message's content, reply and tags as SQL over a row of conversations.
+CONTENT = f"""CASE (conv_id + turn) % 6
+    WHEN 0 THEN text || {_NL} || {_TICKS} || 'sql' || {_NL} || 'SELECT ' || role || ' FROM t' || CAST(turn AS STRING) || {_NL} || {_TICKS} || {_NL} || 'done'
+    WHEN 1 THEN {_TICKS} || 'SELECT a FROM ' || role || {_TICKS} || text || {_TICKS} || 'SQL' || {_NL} || 'SELECT 2' || {_NL} || {_TICKS} || {_NL}
+    WHEN 2 THEN text || {_NL} || 'delete from ' || role || ' where turn = ' || CAST(turn AS STRING) || {_NL} || {_NL} || 'bye'
+    WHEN 3 THEN text || {_TICKS} || 'sql' || {_NL} || 'WITH c AS (SELECT 1)'
+    WHEN 4 THEN ''
+    ELSE text END"""
+REPLY = """CASE (conv_id + turn) % 6 WHEN 0 THEN '{"intent": "sql"}' WHEN 1 THEN 'so: {"intent":"qa", "why": "' || role || '"} ok' WHEN 2 THEN text
+    WHEN 3 THEN '{"intent": "other"}' WHEN 4 THEN '{"intent": general}' ELSE 'x {"intent":"general"}' END"""
+TAGS = """CASE (conv_id + turn) % 5 WHEN 0 THEN '["' || role || '","b"]' WHEN 1 THEN 'not json' WHEN 2 THEN NULL WHEN 3 THEN '[]' ELSE '["q", "' || CAST(turn AS STRING) || '"]' END"""
 
 
-def _text(x) -> str:
-    return "NULL" if x is None else "'" + str(x).replace("'", "''").replace("\n", "' || chr(10) || '") + "'" if not isinstance(x, int) else str(x)
+def messages(t) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", "role", "text", F.expr(CONTENT).alias("content"), F.expr(REPLY).alias("reply"), F.expr(TAGS).alias("tags"))
 
 
-def _values(rows) -> str:
-    return "(VALUES " + ", ".join(f"({', '.join(map(_text, r))})" for r in rows) + ")"
+_MSG = f"(SELECT *, {CONTENT} AS content, {REPLY} AS reply, {TAGS} AS tags FROM conversations)"
+#: A fenced block, and the words that a bare statement begins with.
+_FENCE = r"(?is)```(?:sql)?\s*\n?(.*?)```"
+_BARE = r"(?is)((?:SELECT|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER|WITH)[^\p{L}\p{N}_].*?)(?:\n\n|$)"
+_ENDS = r"^\s+|\s+$"
 
 
-def _messages(t) -> DataFrame:
-    return _rows(t, MESSAGES, "id int, content string, reply string, tags string, typed string")
-
-
-_MSG = f"(SELECT * FROM {_values(MESSAGES)} m(id, content, reply, tags, typed))"
-_FENCE = "(?is)" + _TICKS + r"(?:sql)?\s*\n(.*?)" + _TICKS
-_BARE = r"(?is)\b((?:SELECT|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER|WITH)\b.*?)(?:\n\s*\n|$)"
+def stripped(x: Column) -> Column:
+    return F.regexp_replace(x, _ENDS, "")
 
 
 def extracted(x: Column) -> Column:
     """The first fenced block, else the first statement up to a blank line, else null."""
     def found(p):
-        return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(x, p, 1), r"^\s+|\s+$", "")), F.lit(""))
+        return F.when(F.regexp_like(x, F.lit(p)), stripped(F.regexp_extract(x, p, 1)))
     return F.coalesce(found(_FENCE), found(_BARE))
 
 
-@query(None)
+@query(f"""SELECT conv_id, turn, CASE WHEN regexp_matches(content, '{_FENCE}') THEN regexp_replace(regexp_extract(content, '{_FENCE}', 1), '{_ENDS}', '', 'g')
+    WHEN regexp_matches(content, '{_BARE}') THEN regexp_replace(regexp_extract(content, '{_BARE}', 1), '{_ENDS}', '', 'g') END AS sql FROM {_MSG}""")
 def sql_extract(t):
-    return _messages(t).select("id", extracted(F.col("content")).alias("sql"))
+    return messages(t).select("conv_id", "turn", extracted(F.col("content")).alias("sql"))
+
 
+#: A complete block, and how an open one begins.
+_BLOCK, _OPEN = r"(?is)```sql\n?(.*?)```", "```sql"
 
-@query(None)
+
+def segments(rows: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """(keys, n, kind, body, complete): texts and statement blocks in order; an open block is not complete.
+
+    Complete blocks are marked by two control characters, and the text is cut there.
+    """
+    parts = F.split(F.regexp_replace(content, _BLOCK, "\x01$1\x02"), "\x02")
+    cut = rows.select(*keys, F.size(parts).alias("of"), F.posexplode(parts).alias("k", "part"))
+    last = F.col("k") == F.col("of") - 1
+    at = F.when(last, F.instr("part", _OPEN)).otherwise(F.instr("part", "\x01"))
+    before = F.when(at > 0, F.substring(F.col("part"), F.lit(1), at - 1)).otherwise(F.col("part"))
+    after = F.when(at > 0, F.substr(F.col("part"), at + F.when(last, F.lit(len(_OPEN))).otherwise(F.lit(1))))
+    block = F.when(last, F.regexp_replace(after, r"^\n", "")).otherwise(stripped(after))
+    two = F.array(F.struct(F.lit("text").alias("kind"), before.alias("body"), F.lit(True).alias("complete")), F.struct(F.lit("sql").alias("kind"), block.alias("body"), (~last).alias("complete")))
+    both = cut.select(*keys, "k", F.posexplode(two).alias("j", "s")).select(*keys, (F.col("k") * 2 + F.col("j")).alias("n"), "s.*")
+    return both.filter(F.when(F.col("kind") == "text", stripped(F.col("body")) != "").otherwise(F.col("body") != ""))
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, string_split(regexp_replace(content, '{_BLOCK}', chr(1) || '\\1' || chr(2), 'g'), chr(2)) AS parts FROM {_MSG}),
+    c AS (SELECT conv_id, turn, k::INTEGER AS k, parts[k + 1] AS part, k = len(parts) - 1 AS last FROM p, unnest(range(len(parts))) u(k)),
+    s AS (SELECT *, CASE WHEN last THEN instr(part, '{_OPEN}') ELSE instr(part, chr(1)) END AS cut FROM c),
+    b AS (SELECT conv_id, turn, 2 * k AS n, 'text' AS kind, CASE WHEN cut > 0 THEN substring(part, 1, cut - 1) ELSE part END AS body, true AS complete FROM s
+        UNION ALL SELECT conv_id, turn, 2 * k + 1, 'sql', CASE WHEN last THEN regexp_replace(substring(part, cut + {len(_OPEN)}), '^\\n', '') ELSE regexp_replace(substring(part, cut + 1), '{_ENDS}', '', 'g') END, NOT last FROM s WHERE cut > 0)
+    SELECT conv_id, turn, n, kind, body, complete FROM b WHERE CASE WHEN kind = 'text' THEN regexp_replace(body, '{_ENDS}', '', 'g') <> '' ELSE body <> '' END""")
 def content_segments(t):
-    """(id, n, kind, body, complete): text and fenced parts in order; odd parts are fenced."""
-    parts = _messages(t).select("id", F.posexplode(F.split("content", _TICKS)).alias("n", "body"), F.size(F.split("content", _TICKS)).alias("of"))
-    sql = F.col("n") % 2 == 1
-    body = F.when(sql, F.regexp_replace("body", r"(?i)^sql\s*\n|^\s*\n", "")).otherwise(F.col("body"))
-    return parts.select("id", "n", F.when(sql, "sql").otherwise("text").alias("kind"), F.trim(body).alias("body"), (~sql | (F.col("n") < F.col("of") - 1)).alias("complete")).filter("body <> '' or kind = 'sql'")
+    return segments(messages(t), ["conv_id", "turn"])
 
 
-@query(None)
+@query(f"""SELECT conv_id, turn, CASE WHEN i IN ('sql', 'qa', 'general') THEN i ELSE 'general' END AS intent FROM
+    (SELECT conv_id, turn, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.intent') END AS i FROM (SELECT conv_id, turn, regexp_extract(reply, '(?s)(\\{{.*\\}})', 1) AS j FROM {_MSG}))""")
 def intent_parse(t):
+    """The intent of the reply's outermost braces; general where they hold none that is known."""
     found = F.get_json_object(F.regexp_extract("reply", r"(?s)(\{.*\})", 1), "$.intent")
-    return _messages(t).select("id", F.when(found.isin("sql", "qa", "general"), found).otherwise("general").alias("intent"))
+    return messages(t).select("conv_id", "turn", F.when(found.isin("sql", "qa", "general"), found).otherwise("general").alias("intent"))
 
 
-@query(None)
+@query(f"SELECT conv_id, turn, CASE WHEN json_valid(tags) THEN array_to_string(from_json(tags, '[\"VARCHAR\"]'), '|') ELSE '' END AS tags FROM {_MSG}")
 def tags_parse(t):
-    return _messages(t).select("id", F.coalesce(F.from_json("tags", "array<string>"), F.array().cast("array<string>")).alias("tags"))
+    """A JSON list of tags, or none where it can't be read."""
+    tags = F.coalesce(F.from_json("tags", "array<string>"), F.array().cast("array<string>"))
+    return messages(t).select("conv_id", "turn", F.array_join(tags, "|").alias("tags"))
 
 
-@query(f"SELECT id, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(typed, ''), '[,，]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS tags FROM {_MSG}")
+@query("SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '[,，]'), lambda x: trim(x)), lambda x: x <> ''), '|') AS tags FROM conversations")
 def tags_split(t):
-    parts = F.filter(F.transform(F.split(F.coalesce("typed", F.lit("")), "[,，]"), lambda x: F.trim(x)), lambda x: x != "")
-    return _messages(t).select("id", F.array_join(parts, "|").alias("tags"))
+    parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "[,，]"), lambda x: F.trim(x)), lambda x: x != "")
+    return t.conversations.select("conv_id", "turn", F.array_join(parts, "|").alias("tags"))
 
 
 @query("SELECT doc_id, substring(text, 1, 100) || '...' AS excerpt FROM documents")
@@ -93,61 +118,58 @@ def topk_examples(t):
     return t.benchmark.select("item_id", "text").orderBy("item_id").limit(5)
 
 
-def retrieve(queries: DataFrame, faq: DataFrame, top: int = 3) -> DataFrame:
-    """(qid, fid): the first entries of which a keyword stands in the query, or a word of the query in the entry's question.
+def retrieve(asked: DataFrame, faq: DataFrame, keys: list[str], top: int = 3) -> DataFrame:
+    """The first ``top`` entries for each of ``asked`` (keys, asked, wanted), in the entries' order.
 
-    Both conditions are substring tests, so each query meets each entry once; the
-    entries are a small curated list and are sent to the tasks only as such.
+    An entry (ord, question, answer, category, keywords) is a hit if a keyword stands in
+    what is asked or a word of it stands in the question, and its category is the one
+    wanted, where one is. These are substring tests and no join keys, so the curated
+    entries are a query set: each question meets each entry once, and the entries go to
+    the tasks whole only under the bound of ``replicated``.
     """
-    words = F.filter(F.split(F.lower("question_asked"), r"\s+"), lambda w: F.char_length(w) > 1)
-    hit = F.exists("keywords", lambda k: F.contains(F.lower("question_asked"), F.lower(k))) | F.exists("words", lambda w: F.contains(F.lower("question"), w))
-    met = queries.withColumn("words", words).join(F.broadcast(faq), hit)
-    return met.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy("fid"))).filter(F.col("rn") <= top).select("qid", "fid")
+    words = F.filter(F.split(F.lower("asked"), r"\s+"), lambda w: F.char_length(w) > 1)
+    hit = F.exists("keywords", lambda k: F.contains(F.col("said"), F.lower(k))) | F.exists("words", lambda w: F.contains(F.lower("question"), w))
+    told = asked.withColumn("words", words).withColumn("said", F.lower("asked"))
+    met = told.join(replicated(faq), (F.col("wanted").isNull() | (F.col("wanted") == F.col("category"))) & hit)
+    first = met.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))).filter(F.col("rn") <= top)
+    content = F.concat(F.lit("问题："), "question", F.lit("\n\n答案："), "answer")
+    return first.select(*keys, F.col("rn").cast("long").alias("rn"), "ord", content.alias("content"), F.concat(F.lit("FAQ - "), "category").alias("source"))
 
 
-_FAQ = [(1, "How are tables distributed", ["shard", "distributed"]), (2, "How large may a replicated table be", ["replicated"]), (3, "Is JSON supported", ["json"]), (4, "Which window functions work", ["rank", "window"]), (5, "How to page", ["limit"])]
-_ASKED = [(1, "distributed table window"), (2, "JSON or json"), (3, "zzz"), (4, "a limit of how")]
+#: Entries and questions as SQL over benchmark and conversations.
+_ENTRY = """item_id AS ord, text AS question, 'see item ' || CAST(item_id AS STRING) AS answer, CASE item_id % 3 WHEN 0 THEN 'usage' WHEN 1 THEN 'limits' ELSE 'types' END AS category"""
+_WANTED = "CASE conv_id % 3 WHEN 0 THEN 'usage' WHEN 1 THEN 'types' END AS wanted"
 
 
-@query(None)
+@query(f"""SELECT conv_id, turn, rn, ord, '问题：' || question || chr(10) || chr(10) || '答案：' || answer AS content, 'FAQ - ' || category AS source FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY ord) AS rn FROM (SELECT conv_id, turn, text AS asked, {_WANTED} FROM conversations WHERE role = 'user')
+    JOIN (SELECT {_ENTRY}, [string_split(text, ' ')[1], string_split(text, ' ')[3]] AS keywords FROM benchmark) ON (wanted IS NULL OR wanted = category)
+    AND (len(list_filter(keywords, lambda k: contains(lower(asked), lower(k)))) > 0 OR len(list_filter(regexp_split_to_array(lower(asked), '\\s+'), lambda w: length(w) > 1 AND contains(lower(question), w))) > 0)) WHERE rn <= 3""")
 def faq_retrieve(t):
-    return retrieve(_rows(t, _ASKED, "qid int, question_asked string"), _rows(t, _FAQ, "fid int, question string, keywords array<string>"))
+    words = F.split("text", " ")
+    faq = t.benchmark.select(*[F.expr(x) for x in _split_columns(_ENTRY)], F.array(F.get(words, F.lit(0)), F.get(words, F.lit(2))).alias("keywords"))
+    asked = t.conversations.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("asked"), F.expr(_WANTED))
+    return retrieve(asked, faq, ["conv_id", "turn"])
+
+
+def _split_columns(columns: str) -> list[str]:
+    return [c.strip() for c in columns.split(", ")]
 
 
-@query("SELECT p_brand AS id, min(p_partkey) AS first FROM part GROUP BY 1")
+#: Model names by task: the first part of a brand is its primary model, the next three are what it falls back on.
+@query("""WITH o AS (SELECT p_brand AS task, 'org/' || replace(p_name, ' ', '-') AS model, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS pos FROM part),
+    f AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY task, pos) AS rn FROM o WHERE pos <= 4)
+    SELECT model AS id, array_to_string(list_transform(string_split(string_split(model, '/')[-1], '-'), lambda w: upper(w[1]) || w[2:]), ' ') AS name, task AS task_type, pos = 1 AS "primary" FROM f WHERE rn = 1""")
 def models_distinct(t):
-    first = Window.partitionBy("p_brand").orderBy("p_partkey")
-    return t.part.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select(F.col("p_brand").alias("id"), F.col("p_partkey").alias("first"))
-
-
-@query(None)
-def ddl_to_schema(t):
-    """(id, table, columns) of every CREATE TABLE statement; keys and constraints are no columns."""
-    text = F.col("statement")
-    body = F.regexp_extract(text, r"(?is)create\s+table\s+\w+\s*\((.*)\)", 1)
-    flat = F.regexp_replace(body, r"\([^()]*\)", "")
-    names = F.transform(F.split(flat, ","), lambda c: F.lower(F.regexp_extract(F.trim(c), r"^`?(\w+)", 1)))
-    columns = F.filter(names, lambda c: ~c.isin("", "primary", "unique", "index", "constraint", "foreign", "key"))
-    rows = _rows(t, STATEMENTS, "id int, statement string").filter(text.rlike(r"(?i)^\s*create\s+table"))
-    return rows.select("id", F.regexp_extract(text, r"(?i)create\s+table\s+(\w+)", 1).alias("table"), columns.alias("columns"))
-
-
-def linted(statements: DataFrame, text: str = "statement") -> DataFrame:
-    """Rule flags for each statement of a table, outside its string literals."""
-    x = F.regexp_replace(F.col(text), "'[^']*'", "''")
-    key = F.lower(F.regexp_extract(F.col(text), r"(?i)distributed\s+by\s*\(\s*'(\w+)'", 1))
-    defined = F.lower(F.regexp_extract(F.col(text), r"(?is)create\s+table\s+\w+\s*\((.*)\)\s*(?:replicated|distributed|$)", 1))
-    def has(p):
-        return x.rlike(f"(?i){p}")
-    flags = {
-        "val_syntax": F.trim(x) == "", "val_lock": has(r"for\s+update|lock\s+in\s+share\s+mode"), "val_keywords": has(r"lock\s+tables|get\s+diagnostics|\bsignal\b|fulltext"),
-        "val_trigger_event": has(r"create\s+(trigger|event)\b"), "val_dml": has(r"^\s*(insert|update|delete)\b"), "val_drop": has(r"^\s*drop\b"), "val_star": has(r"select\s+\*"),
-        "val_join_on": has(r"\bjoin\s+\w+(\s+\w+)?\s*($|where|group|order|limit)"), "val_dist_exclusive": has(r"\breplicated\b") & has(r"distributed\s+by"),
-        "val_dist_column": (key != "") & ~F.exists(F.split(defined, ","), lambda c: F.regexp_extract(F.trim(c), r"^`?(\w+)", 1) == key),
-    }
-    return statements.select("id", *[v.alias(k) for k, v in flags.items()])
-
-
-@query(None)
-def lint_statements(t):
-    return linted(_rows(t, STATEMENTS, "id int, statement string"))
+    ranked = t.part.withColumn("pos", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).filter("pos <= 4")
+    one = F.struct("pos", F.concat(F.lit("org/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))).alias("model"))
+    tasks = ranked.groupBy(F.col("p_brand").alias("task_type")).agg(F.sort_array(F.collect_list(one)).alias("models"))
+    return distinct_models(tasks)
+
+
+def distinct_models(tasks: DataFrame) -> DataFrame:
+    """(id, name, task_type, primary) of every model of (task_type, models), primary first; its first place counts."""
+    flat = tasks.select("task_type", F.explode("models").alias("m")).select("task_type", "m.pos", F.col("m.model").alias("id"))
+    first = flat.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("task_type", "pos"))).filter("rn = 1")
+    name = F.initcap(F.replace(F.element_at(F.split("id", "/"), -1), F.lit("-"), F.lit(" ")))
+    return first.select("id", name.alias("name"), "task_type", (F.col("pos") == 1).alias("primary"))

@@ -26,9 +26,14 @@ def fn_datediff(t):
 
 @query(f"SELECT TIMESTAMP '{ORDERS_AS_OF}' AS now, DATE '{ORDERS_AS_OF}' AS today, '00:00:00' AS clock FROM region")
 def fn_now(t):
-    """The time of the query is a parameter, so that a rerun gives the same."""
-    now = stamp(ORDERS_AS_OF)
-    return t.region.select(now.alias("now"), F.to_date(now).alias("today"), D.date_format(now, "%T").alias("clock"))
+    """NOW, CURDATE and CURTIME; the query gives a time, so that a rerun is the same."""
+    return clock(t.region, stamp(ORDERS_AS_OF))
+
+
+def clock(rows, now=None):
+    """The session's time beside each row, or the one given."""
+    now = F.localtimestamp() if now is None else now
+    return rows.select(now.alias("now"), F.to_date(now).alias("today"), D.date_format(now, "%T").alias("clock"))
 
 
 @query("SELECT event_id, CAST(ts AS DATE) AS d FROM events")

@@ -69,8 +69,7 @@ def win_cumulative(t):
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events")
 def win_range_frame(t):
-    t.events.select("event_id", "user_id", "ts").createOrReplaceTempView("range_events")
-    return t.spark.sql("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM range_events")
+    return t.spark.sql("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM {events}", events=t.events.select("event_id", "user_id", "ts"))
 
 
 def streaks(t, least: int):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import aggregates, conversations, knowledge, joins, scalars, windows  # noqa: F401  they register themselves
+from ..operators import aggregates, conversations, joins, knowledge, scalars, statements, windows  # noqa: F401  they register themselves
 from ..sources import layout  # noqa: F401
 from .registry import QUERIES, SQL
 
