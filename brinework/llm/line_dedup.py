@@ -37,6 +37,7 @@ words goes. Columns beyond those named pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,9 @@ ID_BITS, BUCKET, FLUSH = 40, 1 << 22, 1 << 20
 #: Lines of a key that one task compares; keys of more lines than that which go to the tasks whole (12 MB); lines that a task remembers.
 BLOCK, SENT_KEYS, SEEN = 8192, 500_000, 1 << 18
 #: Lines and bytes of a group that one task holds from a block.
-TEXTS, TEXT_BYTES = 2048, 8 << 20
+TEXTS, TEXT_BYTES = 256, 8 << 20
+#: Pairs that are verified side by side.
+PAIRS = 4096
 _ONE = np.uint64(1)
 # letters and digits of ASCII, and whatever lies beyond it
 _WORDED = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -173,6 +176,49 @@ def within(a: bytes, b: bytes, edits: int) -> bool:
     return score <= edits
 
 
+def all_within(left: list[bytes], right: list[bytes], edits: int) -> np.ndarray:
+    """``within`` for many pairs side by side: the same bands, one 64-bit word for each pair. ``edits`` up to 31."""
+    n = len(left)
+    a, b = [], []
+    for x, y in zip(left, right):
+        if len(x) < len(y):
+            x, y = y, x
+        same = common(x, y)
+        x, y = x[same:], y[same:]
+        same = common(x[::-1], y[::-1])
+        a.append(x[:len(x) - same])
+        b.append(y[:len(y) - same])
+    m, size = np.array([len(x) for x in a]), np.array([len(y) for y in b])
+    out, width = m <= edits, 2 * edits + 1
+    todo = np.flatnonzero(~out & (m - size <= edits))
+    todo = todo[np.argsort(size[todo], kind="stable")]
+    one, full = np.uint64(1), np.uint64((1 << width) - 1)
+    for part in np.array_split(todo, max(1, -(-len(todo) // 1024))) if len(todo) else ():
+        most, long = m[part], int(size[part].max())
+        # a row for each place: texts stand side by side
+        x = np.full((max(long, int(most.max())) + width, len(part)), -1, np.int16)
+        y = np.full((long, len(part)), -2, np.int16)
+        for k, i in enumerate(part.tolist()):
+            x[edits:edits + m[i], k] = np.frombuffer(a[i], np.uint8)
+            y[:size[i], k] = np.frombuffer(b[i], np.uint8)
+        vp, vn = np.full(len(part), (1 << width) - 1 ^ (1 << edits) - 1, np.uint64), np.zeros(len(part), np.uint64)
+        score = np.full(len(part), edits, np.int64)
+        bits, own = np.zeros((len(part), 64), bool), size[part]
+        for j in range(long):
+            bits[:, :width] = (x[j:j + width] == y[j]).T
+            eq = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+            d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & full
+            hp, hn = vn | (full & ~(d0 | vp)), d0 & vp
+            inner = j < most - edits
+            low = np.maximum(width - 2 - (j - (most - edits)), 0).astype(np.uint64)
+            step = np.where(inner, (d0 >> np.uint64(width - 1) & one ^ one).astype(np.int64), (hp >> low & one).astype(np.int64) - (hn >> low & one).astype(np.int64))
+            score += np.where(j < own, step, 0)
+            down = d0 >> one
+            vp, vn = hn | (full & ~(down | hp)), down & hp
+        out[part] = score <= edits
+    return out
+
+
 def worded_lines(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes; starts, ends and text of the lines with a letter or digit; their line numbers."""
     data, offsets = utf8(text)
@@ -432,43 +478,55 @@ def links(kept: Kept, docs: DataFrame, own: DataFrame) -> DataFrame:
     cut = cut.select("group", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "h", "line")
     met = cut.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y")
 
-    def meet(h, line, block, across):
-        """(h, links, root) of the lines of one meeting that have links."""
-        sizes = np.array([len(x) for x in line])
-        ends = np.cumsum(sizes)
-        parity = parities(np.frombuffer(b"".join(line), np.uint8), ends - sizes, ends)
-        a, b = [], []
-        for i in range(len(line) - 1):
-            j = np.arange(i + 1, len(line))
-            most = allowed(np.minimum(sizes[i], sizes[j]))
-            good = (np.abs(sizes[j] - sizes[i]) <= most) & (np.bitwise_count(parity[j] ^ parity[i]) <= 4 * most)
+    def likely(size, parity, block, across):
+        """Places i < j of the lines of one meeting that may be linked, and the edits they are allowed."""
+        for i in range(len(size) - 1):
+            j = np.arange(i + 1, len(size))
+            most = allowed(np.minimum(size[i], size[j]))
+            good = (np.abs(size[j] - size[i]) <= most) & (np.bitwise_count(parity[j] ^ parity[i]) <= 4 * most)
             if across:
                 good &= block[j] != block[i]
-            for k, edits in zip(j[good].tolist(), most[good].tolist()):
-                if within(line[i], line[k], edits):
-                    a.append(h[i])
-                    b.append(h[k])
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        ids, n = np.unique(np.concatenate([a, b]), return_counts=True)
-        return ids, n, roots(a, b)[1]
+            yield from zip([i] * int(good.sum()), j[good].tolist(), most[good].tolist())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        over, rows = None, []
-
-        def done():
-            h, line, block = zip(*rows)
-            ids, n, top = meet(np.array(h, np.int64), line, np.array(block), over[1] != over[2])
-            return pa.record_batch([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(top)], ["h", "n_links", "root"])
+        over, rows, pairs = None, [], []
+
+        def met_lines():
+            size, parity, block = (np.array([r[k] for r in rows], t) for k, t in ((2, np.int64), (3, np.uint64), (4, np.int64)))
+            for i, j, edits in likely(size, parity, block, over[1] != over[2]):
+                pairs.append((edits, rows[i][0], rows[j][0], rows[i][1], rows[j][1]))
+                if len(pairs) >= PAIRS:
+                    yield linked()
+
+        def linked():
+            """(h, links, root) of the lines that have links among the pairs gathered."""
+            pairs.sort(key=lambda x: x[0])
+            a, b = [], []
+            for edits, some in groupby(pairs, lambda x: x[0]):
+                some = list(some)
+                good = all_within([x[3] for x in some], [x[4] for x in some], edits) if edits <= 31 else [within(x[3], x[4], edits) for x in some]
+                a += [x[1] for x, ok in zip(some, good) if ok]
+                b += [x[2] for x, ok in zip(some, good) if ok]
+            pairs.clear()
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            ids, n = np.unique(np.concatenate([a, b]), return_counts=True)
+            return pa.record_batch([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(roots(a, b)[1])], ["h", "n_links", "root"])
 
         for b in batches:
-            for group, x, y, *row in zip(*[b.column(c).to_pylist() for c in ("group", "x", "y", "h", "line", "block")]):
+            lines = b.column("line").to_pylist()
+            size = np.array([len(x) for x in lines], np.int64)
+            ends = np.cumsum(size)
+            parity = parities(np.frombuffer(b"".join(lines), np.uint8), ends - size, ends).tolist()
+            for group, x, y, h, line, n, p, block in zip(*[b.column(c).to_pylist() for c in ("group", "x", "y", "h")], lines, size.tolist(), parity, b.column("block").to_pylist()):
                 if over != (group, x, y):
                     if len(rows) > 1:
-                        yield done()
+                        yield from met_lines()
                     over, rows = (group, x, y), []
-                rows.append(row)
+                rows.append((h, line, n, p, block))
         if len(rows) > 1:
-            yield done()
+            yield from met_lines()
+        if pairs:
+            yield linked()
 
     return kept.put(map_batches(met, verify, "h long, n_links long, root long"))
 

@@ -238,6 +238,20 @@ def test_star_steps_equal_one_task(spark, monkeypatch):
         assert got == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.binary(max_size=40), st.lists(st.tuples(st.integers(0, 39), st.integers(0, 2)), max_size=6), st.booleans()), min_size=1, max_size=12), st.integers(1, 6))
+def test_bands_side_by_side(rows, edits):
+    pairs = []
+    for a, ops, swap in rows:
+        b = bytearray(a)
+        for at, how in ops:
+            at = min(at, len(b))
+            b[at:at + (how != 1)] = [b"X", b"Y", b""][how]
+        pairs.append((bytes(b), a) if swap else (a, bytes(b)))
+    got = line_dedup.all_within([a for a, _ in pairs], [b for _, b in pairs], edits)
+    assert got.tolist() == [distance(a, b) <= edits for a, b in pairs]
+
+
 def test_lines_of_edge_rows(spark):
     out = line_dedup.drop_repeated(edge(spark))
     assert out.columns == edge(spark).columns
