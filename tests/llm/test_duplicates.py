@@ -88,14 +88,22 @@ def line_docs():
 
 
 def brute_lines(docs):
-    """Class id, size and keeper of each different line of 24 bytes or more."""
+    """Places, class and links of each different line with a letter or digit; ``within`` is held against the plain distance elsewhere."""
     places = {}
     for i, text in docs:
         for n, line in enumerate((text or "").split("\n")):
-            if len(line.encode()) >= 24:
+            if any(ord(c) >= 128 or c.isalnum() for c in line):
                 places.setdefault(line, []).append((i, n))
-    lines = sorted(places)
-    near = [(a, b) for k, a in enumerate(lines) for b in lines[k + 1:] if abs(len(a) - len(b)) <= 2 and distance(a.encode(), b.encode()) <= 2]
+    lines = sorted(places, key=lambda x: len(x.encode()))
+    size = [len(x.encode()) for x in lines]
+    near = []
+    for k, a in enumerate(lines):
+        edits = int(line_dedup.allowed(size[k]))
+        for j in range(k + 1, len(lines)):
+            if size[j] - size[k] > edits:
+                break
+            if edits and line_dedup.within(a.encode(), lines[j].encode(), edits):
+                near.append((a, lines[j]))
     root = components(lines, near)
     return places, root, near
 

@@ -36,7 +36,7 @@ def test_stages_equal_brute_force(spark):
     def words(text):
         return decontamination.word_hashes(decontamination.pa.array([text.lower()], decontamination.pa.string()))[0].tolist()
 
-    items = [w for w in (words(r.text) for r in small(spark, "benchmark").collect()) if len(w) >= decontamination.LEAST]
+    items = [w for w in (words(r.text) for r in small(spark, "benchmark").collect()) if len(w) >= decontamination.TELLING]
     stay = {r.doc_id for r in clean.collect()}
     for r in single.collect():
         text = words(r.text)
