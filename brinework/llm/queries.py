@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, langid, line_dedup, near_dups, packing, pii, pseudo_likelihood, quality, sharding
+from . import chat, decontamination, langid, line_dedup, near_dups, oracles, packing, pii, pseudo_likelihood, quality, sharding
 from .shared import read_table
 
 LANG_FOLD = 2
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
