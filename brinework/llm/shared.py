@@ -10,6 +10,8 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -39,29 +41,56 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that operators put to the shared folder within it.
+
+    For a caller that has written an operator's result elsewhere by then::
+
+        with scratch(spark):
+            line_dedup.drop_repeated(docs).write.parquet(path)
+    """
+    paths: list[str] = []
+    outer = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(outer)
+        for path in paths:
+            drop_path(spark, path)
+
+
 class Kept:
     """Tables written to the shared folder in place of a long lineage.
 
     ``put`` writes a frame as Parquet and rereads it; ``drop`` deletes what an
-    iteration has left behind. What a returned frame still reads goes when the
-    application ends.
+    iteration has left behind. What a returned frame still reads goes with the
+    ``scratch`` around it, or when the application ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
+        # the frame is held beside its path, so that no other can take its id
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, aside: bool = True) -> DataFrame:
+        """``df`` as written; with ``aside`` false it outlives the ``scratch`` around it."""
         path = f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
+        written = _written.get()
+        if aside and written is not None:
+            written.append(path)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = out, path
         atexit.register(_quietly, drop_path, self.spark, path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self.paths.pop(id(df), None)
+            _, path = self.paths.pop(id(df), (None, None))
             if path:
                 drop_path(self.spark, path)
 
