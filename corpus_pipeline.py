@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinework.llm import decontamination, line_dedup, near_dups, packing, quality
-from brinework.llm.shared import Kept, read_table
+from brinework.llm.shared import Kept, read_table, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage put aside goes once its documents are written."""
     kept = Kept(spark)
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = kept.put(stage(spark, docs, sf_dir))
+        before = docs
+        with scratch(spark):
+            made = stage(spark, before, sf_dir)
+            docs = kept.put(made, aside=False)
+        kept.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
